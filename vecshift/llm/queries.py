@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecshift.llm import fixed_sample, mixing, stable_sample
+from vecshift.llm import fixed_sample, mixing, neighbours, stable_sample
 
 
 def _t(spark, folder, name):
@@ -21,6 +21,10 @@ def p2_sample(spark, folder):
     return stable_sample.stable_sample(_t(spark, folder, "vector_records"), _t(spark, folder, "transform_contexts"))
 
 
+def p5_found(spark, folder):
+    return neighbours.neighbour_pairs(_t(spark, folder, "vector_records"))
+
+
 def p7_selection(spark, folder):
     return mixing.Mixture(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets")).selection()
 
@@ -30,7 +34,7 @@ def p7_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p5_found, p7_selection, p7_shares)}
 
 
 def oracle_sql():
