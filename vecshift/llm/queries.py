@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecshift.llm import fixed_sample, mixing, neighbours, stable_sample
+from vecshift.llm import clusters, fixed_sample, mixing, neighbours, stable_sample
 
 
 def _t(spark, folder, name):
@@ -21,6 +21,14 @@ def p2_sample(spark, folder):
     return stable_sample.stable_sample(_t(spark, folder, "vector_records"), _t(spark, folder, "transform_contexts"))
 
 
+def p3_found(spark, folder):
+    return clusters.Clusters(_t(spark, folder, "vector_records")).found()
+
+
+def p3_clusters(spark, folder):
+    return clusters.Clusters(_t(spark, folder, "vector_records")).described()
+
+
 def p5_found(spark, folder):
     return neighbours.neighbour_pairs(_t(spark, folder, "vector_records"))
 
@@ -34,7 +42,7 @@ def p7_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p5_found, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p7_selection, p7_shares)}
 
 
 def oracle_sql():
