@@ -17,10 +17,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from vecshift.functions.current import current_rows
 from vecshift.functions.staging import broadcast_within, checkpoint
@@ -35,31 +33,24 @@ HOT_ROWS = 100_000
 SEED = 20_240_607
 
 
-def pack_vectors(dimension: int):
-    """Column function: the float bytes of a usable vector (``dimension`` finite elements, not all zero), else null."""
-
-    @F.arrow_udf(BinaryType())
-    def pack(column: pa.Array) -> pa.Array:
-        right = np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), dimension), False))
-        matrix = column.filter(pa.array(right)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).astype(np.float32)
-        good = np.isfinite(matrix).all(1) & matrix.any(1)
-        at = np.flatnonzero(right)[good]
-        valid = np.zeros(len(column), bool)
-        valid[at] = True
-        ends = np.concatenate([[0], np.cumsum(valid)]).astype(np.int32) * (4 * dimension)
-        return pa.Array.from_buffers(pa.binary(), len(column), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(ends.tobytes()), pa.py_buffer(matrix[good].tobytes())])
-
-    return pack
+def usable(vector: Column, dimension: int) -> Column:
+    """Whether a vector has ``dimension`` elements, all finite, not all zero. Built-in functions only, so that
+    the rows stay partitioned as they are. NaN counts as the greatest element."""
+    greatest, least = F.array_max(vector), F.array_min(vector)
+    finite = (greatest < F.lit(float("inf"))) & (least > F.lit(float("-inf")))
+    return F.coalesce((F.size(vector) == dimension) & (F.size(F.array_compact(vector)) == dimension) & finite & ((greatest != 0) | (least != 0)), F.lit(False))
 
 
 def matrix_of(column, dtype=np.float32, width: int = 64) -> np.ndarray:
-    """The matrix whose rows are the bytes of a binary column without nulls."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    """The matrix whose rows are the elements (or the bytes) of a list (or binary) column without nulls."""
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
-    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4) if len(column) else np.zeros(1, np.int32)
-    data = column.buffers()[2] if len(column) else b""
-    return np.frombuffer(data, dtype, len(column) * width, int(ends[0])).reshape(-1, width) if len(column) else np.empty((0, width), dtype)
+        column = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+    if not len(column):
+        return np.empty((0, width), dtype)
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    first = int(np.frombuffer(column.buffers()[1], np.int32, 1, column.offset * 4)[0])
+    return np.frombuffer(column.buffers()[2], dtype, len(column) * width, first).reshape(-1, width)
 
 
 def binary_of(matrix: np.ndarray) -> pa.Array:
@@ -152,7 +143,7 @@ class Vectors:
     """The current records with usable vectors: ``(id, num, vec)``, kept hash-partitioned by id.
 
     ``num`` numbers the ids in their order (by code point), so that ties can be broken by number and
-    only numbers need be shuffled. ``vec`` holds the float bytes. Kept in memory and on disk; a lost part is
+    only numbers need be shuffled. ``vec`` holds the floats. Kept in memory and on disk; a lost part is
     computed again."""
 
     def __init__(self, records: DataFrame, dimension: int = 64):
@@ -160,8 +151,8 @@ class Vectors:
         ids = records.select("id").where("id is not null").distinct()
         self.numbers = checkpoint(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("num")))
         now = current_rows(records.select("id", "vector", "updated_at", "ingested_at"))
-        packed = now.select("id", pack_vectors(dimension)(F.col("vector").cast("array<float>")).alias("vec")).where("vec is not null")
-        self.rows = packed.join(self.numbers, "id").select("id", "num", "vec").persist()
+        now = now.select("id", F.col("vector").cast("array<float>").alias("vec")).where(usable(F.col("vec"), dimension))
+        self.rows = now.join(self.numbers, "id").select("id", "num", "vec").persist()
         self.count = self.rows.count()
 
     def sample(self, rows: int = FIT_ROWS) -> np.ndarray:

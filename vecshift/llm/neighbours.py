@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,7 +136,7 @@ def neighbours(vectors: Vectors, k: int = 5, least: float = 0.85, **cells) -> Da
             own, lists = batch.column(0).to_numpy(), batch.column(1)
             flat = lists.flatten()
             pairs = np.frombuffer(b"".join(flat.to_pylist()), CANDIDATE)
-            counts = np.array(pa.compute.binary_length(flat), dtype=np.int64) // CANDIDATE.itemsize
+            counts = np.array(pc.binary_length(flat), dtype=np.int64) // CANDIDATE.itemsize
             row = np.repeat(np.repeat(np.arange(len(own)), np.diff(np.asarray(lists.offsets))), counts)
             seen = np.unique(np.rec.fromarrays([row, -pairs["cosine"].astype(np.int64), pairs["num"]], names="row,cosine,num"))
             best = np.arange(len(seen)) - np.searchsorted(seen["row"], seen["row"]) < k
