@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecshift.llm import clusters, fixed_sample, mixing, neighbours, stable_sample
+from vecshift.llm import clusters, fixed_sample, leakage, mixing, neighbours, stable_sample
 
 
 def _t(spark, folder, name):
@@ -33,6 +33,14 @@ def p5_found(spark, folder):
     return neighbours.neighbour_pairs(_t(spark, folder, "vector_records"))
 
 
+def p6_found(spark, folder):
+    return leakage.contaminated(_t(spark, folder, "documents"), _t(spark, folder, "eval_items"))
+
+
+def p6_items(spark, folder):
+    return leakage.leaked_items(_t(spark, folder, "documents"), _t(spark, folder, "eval_items"))
+
+
 def p7_selection(spark, folder):
     return mixing.Mixture(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets")).selection()
 
@@ -42,7 +50,7 @@ def p7_shares(spark, folder):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p6_found, p6_items, p7_selection, p7_shares)}
 
 
 def oracle_sql():
