@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vecshift.llm import clusters, fixed_sample, leakage, mixing, neighbours, stable_sample
+from vecshift.llm import clusters, fixed_sample, leakage, mixing, neighbours, spam, stable_sample
 
 
 def _t(spark, folder, name):
@@ -49,8 +49,16 @@ def p7_shares(spark, folder):
     return mixing.Mixture(_t(spark, folder, "documents"), _t(spark, folder, "mix_targets")).shares()
 
 
+def p8_found(spark, folder):
+    return spam.spam_pages(_t(spark, folder, "documents"))
+
+
+def p8_scores(spark, folder):
+    return spam.page_scores(_t(spark, folder, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p6_found, p6_items, p7_selection, p7_shares)}
+    return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p6_found, p6_items, p7_selection, p7_shares, p8_found, p8_scores)}
 
 
 def oracle_sql():
