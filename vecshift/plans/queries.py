@@ -648,6 +648,19 @@ def history_summary(spark, folder):
     return _t(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n_events"), F.max_by("event_type", "event_id").alias("last_state"), F.max("event_id").alias("last_event"))
 
 
-@query()
+def _payload_sql(table: str, name: str) -> str:
+    """One row per record: the payload as a sorted list of (path, kind, value), numbers as doubles."""
+    kinds = "CASE WHEN j.type IN ('OBJECT', 'ARRAY') THEN j.type WHEN j.type IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT', 'UHUGEINT') THEN 'n' || (j.atom::DOUBLE)::VARCHAR ELSE j.type || coalesce(j.atom->>'$', '') END"
+    return (
+        f"{name} AS (SELECT id, list(leaf ORDER BY leaf) AS payload FROM (SELECT t.id, j.fullkey || ' ' || {kinds} AS leaf FROM {table} t, LATERAL (SELECT * FROM json_tree(t.payload)) j "
+        f"WHERE j.fullkey <> '$' AND j.fullkey NOT IN ('$.__source_id', '$.__namespace', '$.\"__source_id\"', '$.\"__namespace\"')) GROUP BY id)"
+    )
+
+
+@query(f"""WITH {CURRENT}, {TARGET}, {_payload_sql("current", "sp")}, {_payload_sql("target", "tp")},
+    both_sides AS (SELECT s.id, s.vector::DOUBLE[] AS s, t.vector::DOUBLE[] AS t FROM current s JOIN target t USING (id)),
+    wrong AS (SELECT id FROM both_sides WHERE (s IS NULL) <> (t IS NULL) OR len(s) <> len(t) OR len(list_filter(list_zip(s, t), lambda z: NOT (z[1] = z[2] OR (NOT isinf(z[1]) AND NOT isinf(z[2]) AND NOT isnan(z[1]) AND NOT isnan(z[2]) AND abs(z[1] - z[2]) <= 1e-5 + 1e-5 * abs(z[2]))))) > 0)
+    SELECT id, 'missing_in_target' AS diff FROM current WHERE id NOT IN (SELECT id FROM target) UNION ALL SELECT id, 'missing_in_source' FROM target WHERE id NOT IN (SELECT id FROM current)
+    UNION ALL SELECT id, 'vector' FROM wrong UNION ALL SELECT b.id, 'payload' FROM both_sides b LEFT JOIN sp USING (id) LEFT JOIN tp USING (id) WHERE sp.payload IS DISTINCT FROM tp.payload""")
 def p4_found(spark, folder):
     return reconcile.differences(_t(spark, folder, "vector_records"), _t(spark, folder, "target_records"))
