@@ -81,9 +81,10 @@ class Cells:
         """Cells for ``rows`` unit vectors of which ``sample`` is a part.
 
         The number of directions grows with the logarithm of the rows, so that a cell keeps about ``target``
-        rows, and the tables with it, as each direction parts some neighbours. ``reach``: a perturbed cell
+        rows, and the tables with it, as each direction parts some neighbours; up to ``target`` rows are one cell. ``reach``: a perturbed cell
         is visited if its border is no further away (in units of length of a unit vector)."""
-        m = max(1, math.ceil(math.log(max(rows, 1) / target) / -math.log(0.65))) if rows > target else 1
+        m = math.ceil(math.log(rows / target) / -math.log(0.65)) if rows > target else 0
+        tables = tables if m else 1
         subspace = min(max(subspace, m), sample.shape[1])
         m = min(m, subspace)
         tables = tables + max(0, m - 8) // 4
@@ -114,7 +115,7 @@ class Cells:
     def _perturbed(self, low: np.ndarray):
         """The perturbations of each row in order of estimated success: (moves, whether within reach)."""
         n, m = low.shape
-        if not self.probes or not n:
+        if not (self.probes and n and m):
             return
         border = np.concatenate([low, self.width - low], axis=1)
         steps = [(i,) for i in range(2 * m)]

@@ -61,8 +61,23 @@ def queries():
     return {f.__name__: f for f in (p1_sample, p1_report, p2_sample, p3_found, p3_clusters, p5_found, p6_found, p6_items, p7_selection, p7_shares, p8_found, p8_scores)}
 
 
+#: Current records with usable vectors, over unit vectors in doubles; pairs of them by cosine, rounded as the operators do.
+PAIRS = """current AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, ingested_at DESC NULLS LAST) AS n FROM vector_records WHERE id IS NOT NULL) WHERE n = 1),
+    usable AS (SELECT id, vector::DOUBLE[] AS v FROM current WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+    normed AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS n FROM usable),
+    pairs AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.v, b.v) / (a.n * b.n) AS cosine FROM normed a JOIN normed b ON a.id <> b.id)"""
+
+
 def oracle_sql():
     return {
+        "p3_found": f"""
+            WITH {PAIRS}, near AS (SELECT a, b FROM pairs WHERE cosine >= 0.85 UNION ALL SELECT id, id FROM normed),
+            sets AS (SELECT a AS id, list(b ORDER BY b) AS members FROM near GROUP BY a),
+            whole AS (SELECT members FROM sets GROUP BY members HAVING count(*) = len(members) AND len(members) >= 3)
+            SELECT id, members[1] AS cluster_id FROM sets JOIN whole USING (members)""",
+        "p5_found": f"""
+            WITH {PAIRS}, ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(cosine, 9) DESC, b) AS n FROM pairs WHERE round(cosine, 9) >= 0.85)
+            SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM ranked WHERE n <= 5""",
         "p1_report": """
             WITH records AS (SELECT DISTINCT resource_name, r.id AS id FROM (SELECT resource_name, unnest(records) AS r FROM scan_pages) WHERE r.id IS NOT NULL AND resource_name IS NOT NULL),
             totals AS (SELECT resource_name, count(*) AS records FROM records GROUP BY resource_name),
