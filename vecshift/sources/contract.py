@@ -67,6 +67,10 @@ class Store(ABC):
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
+    def __getstate__(self):
+        """Without the session: what executors get of a store."""
+        return {k: v for k, v in self.__dict__.items() if k != "spark"}
+
     @abstractmethod
     def validate(self) -> bool:
         """Whether the store can be reached; errors count as no."""

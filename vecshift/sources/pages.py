@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "id string, namespace string, vector array<float>, payload string, page string"
 
@@ -48,19 +48,23 @@ class _Reader(DataSourceReader):
         yield from _rows(self.path, partition.name)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
+    """Pages are read by the executors; the driver only counts them."""
+
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self):
         return {"pages": 0}
 
-    def read(self, start):
-        names = _files(self.path)[start["pages"] :]
-        return (row for name in names for row in _rows(self.path, name)), {"pages": start["pages"] + len(names)}
+    def latestOffset(self):
+        return {"pages": len(_files(self.path))}
+
+    def partitions(self, start, end):
+        return [_Page(name) for name in _files(self.path)[start["pages"] : end["pages"]]]
 
-    def readBetweenOffsets(self, start, end):
-        return (row for name in _files(self.path)[start["pages"] : end["pages"]] for row in _rows(self.path, name))
+    def read(self, partition):
+        yield from _rows(self.path, partition.name)
 
 
 class ScanPages(DataSource):
@@ -74,7 +78,7 @@ class ScanPages(DataSource):
     def reader(self, schema):
         return _Reader(self.options["path"])
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Stream(self.options["path"])
 
 
