@@ -112,9 +112,9 @@ class Clusters:
     records: ``id, vector, updated_at, ingested_at``; rows with null ids and records whose current vector is
     not usable take no part. An empty table has no clusters; exact copies are similar to each other."""
 
-    def __init__(self, records: DataFrame, least: float = 0.85, smallest: int = 3, dimension: int = 64, reach: float = 0.06, **cells):
+    def __init__(self, records: DataFrame, least: float = 0.85, smallest: int = 3, dimension: int = 64, probes: int = 2, reach: float = 0.06, **cells):
         self.vectors = Vectors(records, dimension)
-        self.cells = Cells.fit(self.vectors.sample(), self.vectors.count, reach=reach, **cells)
+        self.cells = Cells.fit(self.vectors.sample(), self.vectors.count, probes=probes, reach=reach, **cells)
         self.least, self.smallest = least, smallest
 
     def groups(self) -> DataFrame:
