@@ -8,6 +8,7 @@ spam rate of the page's host.
 
 from __future__ import annotations
 
+import html
 import unicodedata
 import zlib
 from collections import Counter
@@ -42,13 +43,19 @@ ZIP_CHARS = 1 << 20
 # Frequent function words of the four languages.
 FUNCTION_WORDS = frozenset(
     """the of and to in a is it that was for on with as at by from this be are or an not which one had were but they their so
-    than when after before into because our we you i if no out only between each most its would could rather
-    der die das und ist im zu den von mit dem des ein eine einen nicht auf sich es als bei nach war für wird um zwei oft vor über aus
-    wenn wer hat sie zum zur ohne damit was dass solange
-    el la los las de que y en un una por con para se del al su lo como más antes entre sin fue sobre desde hasta ya dos son si muy nadie
-    le les et est dans pour qui sur au aux du pas par plus ne ce avant après sans sont avec lors deux mieux il elle dont malgré""".split()
+    than when after before into because our we you i he she if no out only between each most its would could can may has have did do
+    how many much more still both there here what who whose why while through over under about until again also then these those some any all other
+    der die das und ist im zu den von mit dem des ein eine einen einem einer nicht auf sich es als bei nach war für wird um zwei oft vor über aus
+    wenn wer hat sie er wir ihr zum zur ohne damit was dass solange wie viele mehr je davon dagegen deren dessen kein keine keinen hatte hatten wurde werden sind
+    beiden beide bis unter zwischen während obwohl bitte etwas niemand nur noch schon auch aber doch man dieser diese dieses dieselbe dann rund selten weil am an ob seit durch gegen
+    el la los las lo de del que y en un una unos unas por con para se al su sus como más antes entre sin fue sobre desde hasta ya dos son si muy nadie es no ni o le les
+    cuando porque aunque donde cada hay casi nunca sigue cuya cuyo cerca algo este esta estos estas todo todos tras durante mientras
+    le et est dans pour qui sur au aux du pas par plus ne ce avant après sans sont avec lors deux mieux il elle on dont malgré une des ces cette cet leur leurs
+    personne environ depuis chez rien tout tous car entre sous à été où ou mais l d n s c j m t qu""".split()
 )
 
+#: Markup that is no link.
+MARKUP = regex.compile(r"</?(?!a\b)[A-Za-z][^<>]*>")
 URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 ANCHOR = regex.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)", regex.S)
 HIDDEN_DOMAIN = regex.compile(r"\b[\p{L}\p{N}-]{3,}(?:\s?\.\s?|\[\.\]|\(\.\))(?:com|net|org|info|example|test|invalid|[a-z]{2,3})\b(?:\s*[-–:]\s*[^\n]*)?")
@@ -91,6 +98,10 @@ def _covered(pattern, text: str) -> int:
 
 def block_features(text: str | None) -> list[tuple[int, list[float]]]:
     """(characters, FEATURES) of each block; none of a text that is null or too short."""
+    if text and "<" in text:
+        text = MARKUP.sub(" ", text)
+    if text and "&" in text:
+        text = html.unescape(text)
     text = unicodedata.normalize("NFKC", text) if text and not text.isascii() else text
     words = [w.casefold() for w in WORD.findall(text)] if text else []
     if len(words) < LEAST_WORDS and (not text or len(text.split()) < LEAST_WORDS and len(text) < 200):
