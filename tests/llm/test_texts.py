@@ -179,3 +179,13 @@ def test_spam_of_nothing(spark):
     assert spam.spam_pages(empty).count() == 0
     one = spark.createDataFrame([(1, page("keywords", 1), None)], "doc_id bigint, text string, origin string")
     assert [r.doc_id for r in spam.spam_pages(one).collect()] == [1]
+
+
+def test_long_documents_are_searched_in_windows(monkeypatch):
+    monkeypatch.setattr(leakage, "BATCH_CHARS", 300)
+    index = leakage.ItemIndex.build([(7, PASSAGE), (8, "one two three four five six seven eight nine ten eleven")])
+    for at in range(0, 400, 7):
+        text = "filler " * at + PASSAGE + " filler" * 150
+        assert leakage.leaks(["short", text, None], index) == [(1, 7)]
+    assert leakage.leaks(["<!--" * 200_000 + PASSAGE, "a<!-- x --> " + PASSAGE], index) == [(0, 7), (1, 7)]
+    assert leakage.leaks([(PASSAGE + " ") * 3000], index) == [(0, 7)]

@@ -23,13 +23,13 @@ WORDS = 10
 Q = 8
 #: Characters of item texts indexed at a time: the index is broadcast, at about 20 bytes a character.
 BLOCK_CHARS = 2_000_000
-#: Characters of documents handled at a time; a longer document is handled alone, and whole.
-BATCH_CHARS = 1_000_000
+#: Characters of documents handled at a time; a longer document is handled whole, in windows that overlap by a passage.
+BATCH_CHARS = 200_000
 #: Bits of the table of q-grams looked at first.
 TABLE_BITS = 22
 
 # What is markup, a break within a word, or invisible.
-TAG = regex.compile(r"<(?:!--.*?--|/?[A-Za-z][^<>]*)>", regex.S)
+TAG = regex.compile(r"</?[A-Za-z][^<>]*>")
 BROKEN = regex.compile(r"[-­‐‑][^\S\n]*\r?\n\s*")
 INVISIBLE = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}\p{Default_Ignorable_Code_Point}]+")
 WORD = regex.compile(r"[^\W_]+")
@@ -46,7 +46,7 @@ def plain_words(text: str | None) -> str:
     if not text:
         return ""
     if "<" in text:
-        text = TAG.sub(MAYBE, text)
+        text = TAG.sub(MAYBE, _without_comments(text))
     if "&" in text:
         text = html.unescape(text)
     if "\n" in text:
@@ -61,6 +61,14 @@ def plain_words(text: str | None) -> str:
     return GAP.sub(lambda gap: MAYBE if set(gap[0]) == {MAYBE} else " ", text).strip(" " + MAYBE)
 
 
+def _without_comments(text: str) -> str:
+    parts, at = [], 0
+    while (begin := text.find("<!--", at)) >= 0 and (end := text.find("-->", begin)) >= 0:
+        parts += [text[at:begin], MAYBE]
+        at = end + 3
+    return "".join([*parts, text[at:]]) if parts else text
+
+
 def letters(words: str) -> tuple[np.ndarray, np.ndarray]:
     """The characters of ``plain_words`` without gaps, and for each whether a word starts there: 0 no, 1 yes, 2 perhaps.
     The second array has one more entry, for the end."""
@@ -213,30 +221,46 @@ def aligned(codes: np.ndarray, item: np.ndarray, item_start: np.ndarray, place:
 
 def leaks(texts: list[str | None], index: ItemIndex, edits: int = 0) -> list[tuple[int, int]]:
     """(number of text, item id) of each text that contains WORDS consecutive words of an item."""
-    found = []
+    found = set()
+    overlap = int(index.longest.max(initial=0)) + 2 * edits + Q
     for group in _by_size(texts):
-        parts = [letters(plain_words(texts[i])) for i in group]
-        gap = np.full(Q, 0, np.uint32)  # no gram runs from one text into the next unnoticed: grams with 0 are in no item
-        begins = np.cumsum([0] + [len(c) + Q for c, _ in parts])
-        place, item, item_place = index.hits(np.concatenate([x for c, _ in parts for x in (c, gap)]))
-        if not len(place):
+        parts, owner = [], []
+        for i in group:
+            codes, start = letters(plain_words(texts[i]))
+            for low in range(0, max(len(codes), 1), BATCH_CHARS):
+                high = low + BATCH_CHARS + overlap
+                parts.append((codes[low:high], start[low : high + 1]))
+                owner.append(i)
+        step = len(parts) if len(group) > 1 else 1  # the windows of a long text one by one
+        for low in range(0, len(parts), step):
+            found |= {(owner[low + t], item) for t, item in _leaks_in(parts[low : low + step], index, edits)}
+    return sorted(found)
+
+
+def _leaks_in(parts: list[tuple[np.ndarray, np.ndarray]], index: ItemIndex, edits: int) -> list[tuple[int, int]]:
+    """(number of part, item id) of each part that contains a passage."""
+    found: list[tuple[int, int]] = []
+    gap = np.full(Q, 0, np.uint32)  # no gram runs from one text into the next unnoticed: grams with 0 are in no item
+    begins = np.cumsum([0] + [len(c) + Q for c, _ in parts])
+    place, item, item_place = index.hits(np.concatenate([x for c, _ in parts for x in (c, gap)]))
+    if not len(place):
+        return []
+    text = np.searchsorted(begins, place, side="right") - 1
+    place = place - begins[text]
+    need = np.maximum(1, index.shortest[item] + 1 - Q - edits * Q)
+    pair = text * len(index.ids) + item
+    kept = dense_bands(place, pair, place - item_place, need, index.longest[item] + edits, 2 * edits + 1)
+    seen = {}
+    for h in kept[np.lexsort((place[kept], pair[kept]))]:
+        t, i, d = int(text[h]), int(item[h]), int(place[h] - item_place[h])
+        if seen.get((t, i)) is True or (t, i, d) in seen and not edits:
             continue
-        text = np.searchsorted(begins, place, side="right") - 1
-        place = place - begins[text]
-        need = np.maximum(1, index.shortest[item] + 1 - Q - edits * Q)
-        pair = text * len(index.ids) + item
-        kept = dense_bands(place, pair, place - item_place, need, index.longest[item] + edits, 2 * edits + 1)
-        seen = {}
-        for h in kept[np.lexsort((place[kept], pair[kept]))]:
-            t, i, d = int(text[h]), int(item[h]), int(place[h] - item_place[h])
-            if seen.get((t, i)) is True or (t, i, d) in seen and not edits:
-                continue
-            seen[t, i, d] = False
-            codes, start = parts[t]
-            target, target_start = index.texts[i]
-            if words_in_line(codes, start, target, target_start, d) >= WORDS or edits and aligned(codes, target, target_start, int(place[h]), d, edits):
-                seen[t, i] = True
-                found.append((group[t], int(index.ids[i])))
+        seen[t, i, d] = False
+        codes, start = parts[t]
+        target, target_start = index.texts[i]
+        if words_in_line(codes, start, target, target_start, d) >= WORDS or edits and aligned(codes, target, target_start, int(place[h]), d, edits):
+            seen[t, i] = True
+            found.append((t, int(index.ids[i])))
     return found
 
 

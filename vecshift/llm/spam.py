@@ -58,7 +58,7 @@ FUNCTION_WORDS = frozenset(
 MARKUP = regex.compile(r"</?(?!a\b)[A-Za-z][^<>]*>")
 URL = regex.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 ANCHOR = regex.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)", regex.S)
-HIDDEN_DOMAIN = regex.compile(r"\b[\p{L}\p{N}-]{3,}(?:\s?\.\s?|\[\.\]|\(\.\))(?:com|net|org|info|example|test|invalid|[a-z]{2,3})\b(?:\s*[-–:]\s*[^\n]*)?")
+HIDDEN_DOMAIN = regex.compile(r"\b[\p{L}\p{N}-]{3,63}(?:\s?\.\s?|\[\.\]|\(\.\))(?:com|net|org|info|example|test|invalid|[a-z]{2,3})\b(?:\s*[-–:]\s*[^\n]*)?")
 HASHTAG = regex.compile(r"#[\p{L}_][\p{L}\p{N}_-]*")
 PAIR = regex.compile(r"\b[\p{L}_]+:[\p{L}\p{N}_]+(?:;|,|$)", regex.M)
 WORD = regex.compile(r"[\p{L}][\p{L}\p{M}]*")
