@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vecshift.functions import ids, redaction, vectors
 from vecshift.functions.current import current_rows
 from vecshift.operators import compat, fusion, knn, migrate, ranking, reconcile, selection, stats, transforms
+from vecshift.plans import embed, strategies
 
 FLAGSHIP = "quality_gate"
 QUERIES: dict = {}
@@ -252,6 +253,14 @@ def quality_gate(spark, folder):
     return gated.select("sample_size", *[_r(F.col(m)).alias(m) for m in MEAN_NAMES[:3]], "passed", F.size("reasons").cast("bigint").alias("n_reasons"))
 
 
+@query(f"""WITH {RANKINGS}, {MEASURES} SELECT query_id, (SELECT count(*) FROM pairs p WHERE p.query_id = m.query_id AND rs IS NOT NULL AND rt IS NOT NULL) AS n_common, round(recall_at_k, 6) + 0.0 AS recall, round(ndcg_at_k, 6) + 0.0 AS ndcg, round(topk_overlap, 6) + 0.0 AS overlap, round(mrr, 6) + 0.0 AS mrr FROM measures m""")
+def doc_neighbors_compare(spark, folder):
+    source, target = _rankings(spark, folder)
+    both = source.join(target, ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("n_common"))
+    rows = ranking.per_query(source, target, K).join(both, "query_id", "left").fillna(0, ["n_common"])
+    return rows.select("query_id", "n_common", *[_r(F.col(m)).alias(n) for m, n in (("recall_at_k", "recall"), ("ndcg_at_k", "ndcg"), ("topk_overlap", "overlap"), ("mrr", "mrr"))])
+
+
 @query(f"""WITH {RANKINGS}, expected AS (SELECT q.vec_id AS query_id, e.vec_id AS id FROM embeddings q JOIN embeddings e ON e.vec_id BETWEEN q.vec_id AND q.vec_id + 2 WHERE q.vec_id % {EVERY} = 0)
     SELECT query_id, round(count(t.id) / count(*)::DOUBLE, 6) AS expected_id_recall FROM expected e LEFT JOIN tgt t USING (query_id, id) GROUP BY query_id""")
 def expected_id_recall(spark, folder):
@@ -462,6 +471,34 @@ def low_rank_affine(spark, folder):
     return _mapped_error(spark, folder, lambda df: transforms.fit_low_rank(df, "embedding"))
 
 
+def _embedded(spark, folder):
+    documents = _t(spark, folder, "documents").select("doc_id", "text")
+    return embed.embed(documents, "text", embed.HashEmbedder(64), "embedding")
+
+
+@query()
+def re_embedding(spark, folder):
+    """The statistics of documents embedded anew; documents without text have no vector and are counted apart."""
+    rows = _embedded(spark, folder)
+    missing = embed.without_text(rows, "text").agg(F.count("*").alias("without_text"))
+    return stats.distribution(rows, "embedding").crossJoin(F.broadcast(missing))
+
+
+@query()
+def text_query(spark, folder):
+    """Search by text: each document of the query set, embedded as a free text, against all documents."""
+    rows = _embedded(spark, folder).where("embedding is not null").select("doc_id", "embedding")
+    return _shown(knn.knn(rows, rows.where(F.col("doc_id") % EVERY == 0), K, "cosine", "doc_id", "embedding"))
+
+
+@query()
+def strategy_candidates(spark, folder):
+    """Which strategies apply to carrying each resource, as last observed, into half its dimension."""
+    latest = current_rows(_t(spark, folder, "resource_infos").distinct(), "name", "observed_at", None).select("name", "dimension").collect()  # metadata of resources
+    rows = [(r["name"], c["strategy"], c["status"], c["is_stub"]) for r in latest for c in strategies.candidates(strategies.Facts(r["dimension"], r["dimension"] and r["dimension"] // 2, model="jina-embeddings-v3", documents=True))]
+    return spark.createDataFrame(rows, "resource_name string, strategy string, status string, is_stub boolean")
+
+
 # ---- compatibility -----------------------------------------------------------------------------------------------
 
 PAIRS = "WITH latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY observed_at DESC) AS n FROM (SELECT DISTINCT * FROM resource_infos)) WHERE n = 1), p AS (SELECT s.name AS source, t.name AS target, s.dimension AS sd, t.dimension AS td, s.metric AS sm, t.metric AS tm, s.datatype AS st, t.datatype AS tt, s.quantized AS q FROM latest s, latest t)"
