@@ -77,6 +77,23 @@ def test_clusters_against_brute_force(spark, monkeypatch, block):
     assert all(set(r.typical) <= {i for i, x in expected.items() if x == c} and 1 <= len(r.typical) <= 3 for c, r in described.items())
 
 
+@pytest.mark.parametrize("target", [6_000, 60])
+def test_typical_members_are_the_most_central(spark, target):
+    vectors = planted(5, spread=0.05)
+    work = clusters.Clusters(table(spark, vectors, ODD), dimension=16, target=target, reach=1.0)
+    members = {}
+    for r in work.found().collect():
+        members.setdefault(r.cluster_id, []).append(r.id)
+    described = {r.cluster_id: r for r in work.described().collect()}
+    assert set(described) == set(members) and max(map(len, members.values())) >= 90
+    for cluster, ids in members.items():
+        u = cells.units(vectors[[int(i[1:]) for i in ids]])
+        mean = u.mean(0)
+        close = np.rint(u @ mean / np.linalg.norm(mean) * 1e9)
+        assert described[cluster].typical == sorted(sorted(ids, key=lambda i: (-close[ids.index(i)], i))[:3])
+        assert len(ids) < 40 or 3 <= described[cluster].densest_cell_size <= 0.7 * len(ids)
+
+
 def test_a_chain_is_no_cluster(spark):
     angles = np.deg2rad([0, 20, 40, 60])
     chain = np.stack([np.cos(angles), np.sin(angles), 0 * angles], axis=1)

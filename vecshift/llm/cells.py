@@ -106,10 +106,10 @@ class Cells:
             place = (vectors - self.mean) @ direction + shift
             cell = np.floor(place).astype(np.int64)
             low = (place - cell) * self.width
-            rows, keys, home = [*rows, everyone], [*keys, _key(cell, table)], [*home, np.ones(len(cell), bool)]
+            rows, keys, home = [*rows, everyone], [*keys, key_of(cell, table)], [*home, np.ones(len(cell), bool)]
             for moves, near in self._perturbed(low):
                 at = np.flatnonzero(near)
-                rows, keys, home = [*rows, at], [*keys, _key(cell[at] + moves[at], table)], [*home, np.zeros(len(at), bool)]
+                rows, keys, home = [*rows, at], [*keys, key_of(cell[at] + moves[at], table)], [*home, np.zeros(len(at), bool)]
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
 
     def _perturbed(self, low: np.ndarray):
@@ -132,7 +132,7 @@ class Cells:
             yield move[best], score[np.arange(n), best] <= self.reach**2
 
 
-def _key(cell: np.ndarray, table: int) -> np.ndarray:
+def key_of(cell: np.ndarray, table: int) -> np.ndarray:
     key = np.full(len(cell), (table + 1) * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
     for j in range(cell.shape[1]):
         key = (key ^ np.ascontiguousarray(cell[:, j]).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)

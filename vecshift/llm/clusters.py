@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshift.functions.staging import checkpoint
-from vecshift.llm.cells import Cells, Vectors, in_blocks, matrix_of, units
+from vecshift.functions.staging import broadcast_within, checkpoint
+from vecshift.llm.cells import SEED, Cells, Vectors, in_blocks, key_of, matrix_of, units
 
 #: Half-precision similarities differ from exact ones by less than this.
 HALF_SLACK = 4e-4
@@ -28,6 +28,10 @@ SINGLE_SLACK = 4e-6
 ROWS = 512
 #: Rounds of label propagation at most; each halves the longest chain of links, so 60 are never needed.
 ROUNDS = 60
+#: Projections of a cluster's own grid, and the least step of it: deviations below are rounding.
+AXES, LEAST_STEP = 2, 1e-7
+#: Clusters up to which their sums (about half a KB each) are broadcast.
+SUM_ROWS = 50_000
 
 
 def local_groups(vectors: np.ndarray, least: float) -> np.ndarray:
@@ -162,14 +166,45 @@ class Clusters:
         return self.vectors.named(self.members(), "num", "cluster").select(F.col("num").alias("id"), F.col("cluster").alias("cluster_id"))
 
     def described(self, shown: int = 3) -> DataFrame:
-        """``(cluster_id, size, densest_cell_size, typical)``: each cluster's size and the smallest ids of the
-        members in its densest grid cell, at most ``shown``."""
-        members = self.found()
-        home = self.vectors.visits(Cells(self.cells.mean, self.cells.directions[:1], self.cells.shifts[:1], self.cells.width, 0, 0.0), None)
-        placed = self.vectors.named(home.select("num", "key"), "num").withColumnRenamed("num", "id").join(members, "id")
-        cells = placed.groupBy("cluster_id", "key").agg(F.count("*").alias("n"))
-        best = cells.groupBy("cluster_id").agg(F.sum("n").alias("size"), F.max_by(F.struct("key", "n"), F.struct("n", "key")).alias("cell"))
-        inside = placed.join(best, "cluster_id").where("key = cell.key")
-        nth = F.row_number().over(Window.partitionBy("cluster_id").orderBy("id"))
-        top = inside.withColumn("nth", nth).where(F.col("nth") <= shown)
-        return top.groupBy("cluster_id").agg(F.first("size").alias("size"), F.first("cell.n").alias("densest_cell_size"), F.sort_array(F.collect_list("id")).alias("typical"))
+        """``(cluster_id, size, densest_cell_size, typical)``: each cluster's size, the number of members in its
+        densest grid cell, and its ``shown`` most typical members, listed by id.
+
+        Typical are the members closest to the cluster's mean direction (cosine, rounded to nine digits; ties by id),
+        which are those of greatest mean cosine to the cluster. All members are ranked: a cell shows a few projections
+        only, and its members needn't be central. The grid is the cluster's own: AXES projections, quantised about
+        its mean in steps of two of its standard deviations. Means and deviations come from sums aggregated by
+        cluster before any shuffle."""
+        width, members = self.vectors.dimension, checkpoint(self.members())
+        axes = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, min(AXES, width))))[0]
+        fields = [f"s{i}" for i in range(width)] + [f"q{j}" for j in range(axes.shape[1])]
+
+        def unit(batches):
+            for batch in batches:
+                vectors = units(matrix_of(batch.column(1), width=width))
+                columns = np.concatenate([vectors, np.square(vectors @ axes)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in columns.T]], names=["cluster", *fields])
+
+        def place(batches):
+            for batch in batches:
+                vectors, n = units(matrix_of(batch.column(2), width=width)), batch.column(3).to_numpy()[:, None]
+                sums = matrix_of(batch.column(4), width=len(fields))
+                mean = sums[:, :width] / n
+                close = np.einsum("ij,ij->i", vectors, mean) / np.sqrt(np.einsum("ij,ij->i", mean, mean))
+                middle = mean @ axes
+                step = 2 * np.sqrt(np.maximum(sums[:, width:] / n - np.square(middle), 0))
+                # rounded, so that the order of the sums decides no border; copies have one cell
+                at = np.floor(np.round(np.divide(vectors @ axes - middle, step, out=np.zeros_like(middle), where=step > LEAST_STEP) + 0.5, 6)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(close * 1e9).astype(np.int64)), pa.array(key_of(at, 0))], names=["num", "cluster", "close", "key"])
+
+        # the vectors stay where they are; ids and sums come to them
+        rows = self.vectors.rows.join(members.join(self.vectors.numbers, "num").select("id", "cluster"), "id").select("num", "cluster", "vec")
+        sums = rows.select("cluster", "vec").mapInArrow(unit, "cluster bigint, " + ", ".join(f"{f} double" for f in fields))
+        sums = checkpoint(sums.groupBy("cluster").agg(F.count("*").alias("size"), *[F.sum(f).alias(f) for f in fields]).select("cluster", "size", F.array(*fields).alias("sums")))
+        placed = rows.join(broadcast_within(sums, SUM_ROWS), "cluster").select("num", "cluster", "vec", "size", "sums")
+        placed = checkpoint(placed.mapInArrow(place, "num bigint, cluster bigint, close bigint, key bigint"))
+        cells = placed.groupBy("cluster", "key").agg(F.count("*").alias("n"))
+        sizes = cells.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("densest"))
+        nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("close"), "num"))
+        top = placed.withColumn("nth", nth).where(F.col("nth") <= shown).select("cluster", "num").join(sizes, "cluster")
+        top = self.vectors.named(top, "num", "cluster")
+        return top.groupBy(F.col("cluster").alias("cluster_id")).agg(F.first("size").alias("size"), F.first("densest").alias("densest_cell_size"), F.sort_array(F.collect_list("num")).alias("typical"))
