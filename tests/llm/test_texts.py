@@ -174,6 +174,12 @@ def test_spam_on_held_out_pages(spark):
     assert not found & {r[0] for r in mixed}
 
 
+def test_spam_is_cut_by_the_share_of_the_page(spark, monkeypatch):
+    rows = [(1, "clean.example", 0.52, 0.0, 0.468), (2, "spam.example", 0.48, 1.0, 0.532), (3, None, 0.52, None, 0.52), (4, None, 0.5, None, 0.5)]
+    monkeypatch.setattr(spam, "page_scores", lambda documents: spark.createDataFrame(rows, "doc_id bigint, host string, share double, host_rate double, score double"))
+    assert sorted(r.doc_id for r in spam.spam_pages(None).collect()) == [1, 3]
+
+
 def test_spam_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, origin string")
     assert spam.spam_pages(empty).count() == 0

@@ -227,5 +227,6 @@ def page_scores(documents: DataFrame) -> DataFrame:
 def spam_pages(documents: DataFrame) -> DataFrame:
     """``(doc_id)``: the pages more than half of whose text is repeated keywords, links or tags.
 
-    Null, empty and very short texts are none; texts are read whole."""
-    return page_scores(documents).where(F.col("score") > HALF).select("doc_id")
+    Null, empty and very short texts are none; texts are read whole. The cut is on the page's own share: the same
+    text is judged alike on every host."""
+    return page_scores(documents).where(F.col("share") > HALF).select("doc_id")
