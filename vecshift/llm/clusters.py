@@ -1,9 +1,9 @@
 """Clusters of mutually similar records (problem 3).
 
-Grid density clustering: vectors are quantised to the cells of shifted grids (``cells``), the records of each
-cell are counted, records meet in their home cell and in adjacent cells whose border is near, dense cells
-that share or join similar records are linked, and the smallest label is propagated over the links until nothing
-changes. The result is a division into groups that no similar pair crosses, but for pairs that met in no cell.
+Clustering over a grid: vectors are quantised to the cells of shifted grids (``cells``), records meet in their
+home cell and in adjacent cells whose border is near, records of a cell that are similar are linked, and the
+smallest label is propagated over the links until nothing changes. No density enters: cells are counted only to cut
+large ones into chunks. The result is a division into groups that no similar pair crosses, but for pairs that met in no cell.
 
 An exact check follows: within each group every record gets a signature of all records similar to it (their
 number and two sums of their hashes). Records of one signature, as many as it counts, are similar to each
