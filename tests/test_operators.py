@@ -251,3 +251,13 @@ def test_staging(spark):
     df = spark.range(10)
     assert stage(df, "t").count() == 10
     assert "ResolvedHint" in broadcast_within(df, 10)._jdf.queryExecution().analyzed().toString() and "ResolvedHint" not in broadcast_within(df, 9)._jdf.queryExecution().analyzed().toString()
+
+
+def test_ann_searches_again_where_nothing_is_near(spark):
+    # random directions: most of the 10 nearest are further away than the threshold
+    vectors = np.random.default_rng(4).normal(size=(40, 64))
+    df = spark.createDataFrame([(f"r{i:02d}", [float(x) for x in v]) for i, v in enumerate(vectors)], "id string, vector array<double>")
+    found = {(r.query_id, r["rank"]): (r.id, r.distance) for r in knn.ann(df, df, 10).collect()}
+    exact = {(r.query_id, r["rank"]): (r.id, r.score) for r in knn.knn(df, df, 10).collect()}
+    assert len(found) == 400 and {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in exact.items()}
+    assert all(abs(found[k][1] ** 2 - (2 - 2 * exact[k][1])) < 1e-6 for k in exact)

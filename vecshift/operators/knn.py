@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecshift.functions.staging import checkpoint
 from vecshift.functions.vectors import LEAST_NORM, is_usable, prefix, renormalize
 
 METRICS = ("cosine", "dot", "euclidean", "manhattan")
@@ -135,13 +136,20 @@ def two_stage(corpus: DataFrame, queries: DataFrame, k: int, shortlist: int, dim
 
 
 def ann(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vector", bucket_length: float = 0.6, tables: int = 6, threshold: float = 1.2) -> DataFrame:
-    """``(query_id, id, distance, rank)``: approximate search by random-projection hash tables of unit vectors."""
+    """``(query_id, id, distance, rank)``: approximate search by random-projection hash tables of unit vectors.
+
+    Queries with fewer than k rows within ``threshold`` are searched again exactly, over the whole corpus."""
     unit = lambda df: df.where(is_usable(F.col(vector))).select(F.col(id_column).alias("id"), array_to_vector(renormalize(F.col(vector))).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(unit(corpus))
     pairs = model.approxSimilarityJoin(unit(queries), unit(corpus), threshold, "distance")
     pairs = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+    near = checkpoint(pairs.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k))
+    full = near.where(F.col("rank") == k).select("query_id")
+    plain = lambda df: df.where(is_usable(F.col(vector))).select(F.col(id_column).alias("id"), renormalize(F.col(vector)).alias("vector"))
+    short = plain(queries).join(full.withColumnRenamed("query_id", "id"), "id", "left_anti")
+    exact = knn(plain(corpus), short, k, "euclidean").select("query_id", "id", F.col("score").alias("distance"), "rank")
+    return near.join(full, "query_id", "left_semi").unionByName(exact)
 
 
 def in_namespace(records: DataFrame, namespace: Column | str) -> DataFrame:
