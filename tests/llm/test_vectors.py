@@ -94,6 +94,17 @@ def test_typical_members_are_the_most_central(spark, target):
         assert len(ids) < 40 or 3 <= described[cluster].densest_cell_size <= 0.7 * len(ids)
 
 
+def test_many_cells_with_the_settings_of_the_queries(spark):
+    vectors = planted(5, spread=0.05)
+    names, df = [f"v{i:04d}" for i in range(len(vectors))], table(spark, vectors)
+    work = clusters.Clusters(df, dimension=16, target=60)
+    assert len(work.cells.shifts[0]) >= 3 and work.cells.probes == 2 and work.cells.reach == 0.06
+    found, expected = {(r.id, r.cluster_id) for r in work.found().collect()}, set(brute_clusters(vectors, names).items())
+    assert len(found & expected) >= 0.9 * max(len(expected), len(found))
+    pairs, expected = {(r.id_a, r.id_b) for r in neighbours.neighbour_pairs(df, dimension=16, target=60).collect()}, brute_pairs(vectors, names)
+    assert len(pairs & expected) >= 0.8 * max(len(expected), len(pairs))
+
+
 def test_a_chain_is_no_cluster(spark):
     angles = np.deg2rad([0, 20, 40, 60])
     chain = np.stack([np.cos(angles), np.sin(angles), 0 * angles], axis=1)
