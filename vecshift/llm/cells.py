@@ -1,19 +1,21 @@
-"""Quantised cells of vectors, and work on the rows of a cell in blocks.
-
-Vectors are projected onto random Gaussian directions within the principal subspace of a bounded sample
-(a 2-stable family: the projection of a difference is as wide as the difference is long), shifted and
-quantised; the integer vector of a table's directions names the cell. A vector is sent to its home cell and to
-perturbed cells, in order of their estimated success: the sum of the squared distances to the borders
-crossed. Rows of one cell meet in one task; a cell with more than BLOCK_ROWS rows is cut into chunks,
-and every pair of chunks meets in its own task.
+"""Cells of vectors by p-stable hashing, and work on the rows that meet in them.
+
+Vectors are projected onto random Gaussian directions (a 2-stable family: the projection of a difference is as wide as
+the difference is long), shifted and quantised; the integers of the directions of a level name a cell within the cell
+of the level above. A cell is divided by the directions of the next level as long as it has more rows than wished for,
+so that dense regions have finer cells; directions beyond the usual depth are narrower, level by level. A vector visits its home cell
+and perturbed cells in order of their estimated success, the distance to the borders crossed, up to a fixed number.
+
+It is done twice. Cells of the outer hash (one table) are what is shuffled: a vector is sent once for each visit, and
+their number is bounded whatever the size of the data. Within a cell, rows meet by an inner hash of several
+tables, fitted to the rows at hand, whose visits cost no shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,20 @@ from pyspark.sql import functions as F
 from vecshift.functions.current import current_rows
 from vecshift.functions.staging import broadcast_within, checkpoint
 
-#: Rows that meet in one task at most twice: more are cut into chunks of so many.
-BLOCK_ROWS = 16_384
-#: Rows of which the principal directions are fitted, drawn by id hash. Every row is indexed.
-FIT_ROWS = 8_192
-#: Rows up to which lists of hot cells are broadcast.
+#: Rows on which directions and depths are fitted, drawn by id hash. Every row is indexed.
+FIT_ROWS = 16_384
+#: Least and greatest number of rows wished for in an outer cell, and the number of such cells a small table is divided into.
+LEAST_ROWS, MOST_ROWS, PARTS = 2_000, 50_000, 10
+#: An outer cell of more home rows than this times the wished number is divided further, whatever the sample said.
+OVERFULL = 2
+#: Rows in a group of rows that no hash can divide, beyond which it is cut into chunks; every pair of chunks meets.
+BLOCK_ROWS = 50_000
+#: Rows up to which lists of cells cut into chunks are broadcast.
 HOT_ROWS = 100_000
+#: Directions of a level, levels below the usual depth, and the factor of their widths.
+PER, DEEPER, SHRINK = 2, 16, 0.7
+#: Nats by which one direction of the usual width divides the rows, for estimating the usual depth.
+NATS = 0.43
 #: Seed of the random directions and shifts.
 SEED = 20_240_607
 
@@ -65,87 +75,142 @@ def units(matrix: np.ndarray) -> np.ndarray:
     return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
 
 
-@dataclass(frozen=True)
+def _deeper(key: np.ndarray, *coordinates: np.ndarray) -> np.ndarray:
+    """The keys of the cells that have these coordinates within the cells ``key``."""
+    for c in coordinates:
+        key = (key ^ np.ascontiguousarray(c).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key = key ^ (key >> np.uint64(29))
+    return key
+
+
+@dataclass
 class Cells:
-    """Parameters of the cells. directions, shifts: one (dimension, m) and (m,) array for each table."""
+    """Parameters of a hash. directions: for each table an array (dimension, levels * PER), in units of the width;
+    divided: for each level the sorted keys of the cells that are divided further."""
 
     mean: np.ndarray
-    directions: tuple[np.ndarray, ...]
-    shifts: tuple[np.ndarray, ...]
-    width: float
-    probes: int
+    directions: list[np.ndarray]
+    shifts: list[np.ndarray]
+    widths: np.ndarray
+    divided: list[np.ndarray]
+    visits: int
     reach: float
 
     @staticmethod
-    def fit(sample: np.ndarray, rows: int, tables: int = 2, probes: int = 1, reach: float = 0.03, width: float = 0.4, subspace: int = 8, target: int = 6_000) -> Cells:
-        """Cells for ``rows`` unit vectors of which ``sample`` is a part.
-
-        The number of directions grows with the logarithm of the rows, so that a cell keeps about ``target``
-        rows, and the tables with it, as each direction parts some neighbours; up to ``target`` rows are one cell. ``reach``: a perturbed cell
-        is visited if its border is no further away (in units of length of a unit vector)."""
-        m = math.ceil(math.log(rows / target) / -math.log(0.65)) if rows > target else 0
-        tables = tables if m else 1
-        subspace = min(max(subspace, m), sample.shape[1])
-        m = min(m, subspace)
-        tables = tables + max(0, m - 8) // 4
+    def fit(sample: np.ndarray, rows: int, target: int, tables: int = 1, visits: int = 3, reach: float = 0.08, width: float = 0.4, subspace: int = 8) -> Cells:
+        """Cells of about ``target`` rows for ``rows`` unit vectors of which ``sample`` is a part.
+
+        The usual depth grows with the logarithm of the rows; its directions lie within the principal subspace of the
+        sample. Cells of the first level are always divided by it. ``visits``: cells visited by a row at most, the
+        home cells of all tables among them; ``reach``: a perturbed cell is visited if its border is no further
+        away (in units of length of a unit vector)."""
+        usual = max(1, math.ceil(math.log(max(rows / target, 1.0)) / (PER * NATS)))
+        depth, size = (usual + DEEPER) * PER, sample.shape[1]
         mean = sample.mean(0)
         _, basis = np.linalg.eigh((sample - mean).T @ (sample - mean))
+        inner = min(max(subspace, usual * PER), size)
         random = np.random.default_rng(SEED)
+        widths = np.concatenate([np.full(usual * PER, width), np.repeat(width * SHRINK ** np.arange(1, DEEPER + 1), PER)])
         directions, shifts = [], []
         for _ in range(tables):
-            turn, _ = np.linalg.qr(random.normal(size=(subspace, m)))
-            directions.append(basis[:, ::-1][:, :subspace] @ turn / width)
-            shifts.append(random.random(m))
-        return Cells(mean, tuple(directions), tuple(shifts), width, probes, reach)
-
-    def keys(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row number, cell key and whether the cell is the home cell, for each visit of each row."""
-        rows, keys, home = [], [], []
-        everyone = np.arange(len(vectors))
-        for table, (direction, shift) in enumerate(zip(self.directions, self.shifts, strict=True)):
-            place = (vectors - self.mean) @ direction + shift
-            cell = np.floor(place).astype(np.int64)
-            low = (place - cell) * self.width
-            rows, keys, home = [*rows, everyone], [*keys, key_of(cell, table)], [*home, np.ones(len(cell), bool)]
-            for moves, near in self._perturbed(low):
-                at = np.flatnonzero(near)
-                rows, keys, home = [*rows, at], [*keys, key_of(cell[at] + moves[at], table)], [*home, np.zeros(len(at), bool)]
-        return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
-
-    def _perturbed(self, low: np.ndarray):
-        """The perturbations of each row in order of estimated success: (moves, whether within reach)."""
-        n, m = low.shape
-        if not (self.probes and n and m):
-            return
-        border = np.concatenate([low, self.width - low], axis=1)
-        steps = [(i,) for i in range(2 * m)]
-        if self.probes > 1:
-            steps += [p for p in combinations(range(2 * m), 2) if p[0] % m != p[1] % m]
-        score = np.stack([np.square(border[:, list(s)]).sum(1) for s in steps], axis=1)
-        move = np.zeros((len(steps), m), np.int64)
-        for s, step in enumerate(steps):
-            for i in step:
-                move[s, i % m] = -1 if i < m else 1
-        order = np.argsort(score, axis=1)[:, : self.probes]
-        for j in range(order.shape[1]):
-            best = order[:, j]
-            yield move[best], score[np.arange(n), best] <= self.reach**2
-
-
-def key_of(cell: np.ndarray, table: int) -> np.ndarray:
-    key = np.full(len(cell), (table + 1) * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
-    for j in range(cell.shape[1]):
-        key = (key ^ np.ascontiguousarray(cell[:, j]).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+            turns = [np.linalg.qr(random.normal(size=(inner, inner)))[0] for _ in range(-(-usual * PER // inner))]
+            above = basis[:, ::-1][:, :inner] @ np.concatenate(turns, axis=1)[:, : usual * PER]
+            below = random.normal(size=(size, DEEPER * PER))
+            directions.append(np.concatenate([above, below / np.linalg.norm(below, axis=0)], axis=1) / widths)
+            shifts.append(random.random(depth))
+        cells = Cells(mean, directions, shifts, widths, [np.empty(0, np.uint64)] * (usual + DEEPER), visits, reach)
+        while True:  # a level more each time
+            keys, levels = zip(*(cells._walk(cells._places(sample, t)[0], t) for t in range(tables)), strict=True)
+            key, first, count = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
+            full = count * (rows / max(len(sample), 1)) > target
+            if not cells.divide(key[full], np.concatenate(levels)[first[full]]):
+                return cells
+
+    def divide(self, keys: np.ndarray, levels: np.ndarray) -> bool:
+        """Divide cells further; those of the last level stay as they are. Whether any was divided."""
+        deep = levels < len(self.divided) - 1
+        for level in np.unique(levels[deep]):
+            self.divided[level] = np.union1d(self.divided[level], keys[deep & (levels == level)])
+        return bool(deep.any())
+
+    def _used(self) -> int:
+        """Levels that some row reaches."""
+        return 1 + max((level + 1 for level, keys in enumerate(self.divided) if len(keys)), default=0)
+
+    def _places(self, vectors: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(coordinates, distances to the lower border), for the levels in use."""
+        n = self._used() * PER
+        place = (vectors - self.mean) @ self.directions[table][:, :n] + self.shifts[table][:n]
+        low = np.floor(place)
+        return low.astype(np.int64), (place - low) * self.widths[:n]
+
+    def _walk(self, coordinates: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, level) of the undivided cell each row comes to."""
+        key = np.full(len(coordinates), (table + 1) * 0xD6E8FEB86659FD93 % 2**64, np.uint64)
+        level, going = np.zeros(len(key), np.int64), np.arange(len(key))
+        for at in range(coordinates.shape[1] // PER):
+            key[going] = _deeper(key[going], *(coordinates[going, at * PER + j] for j in range(PER)))
+            level[going] = at
+            divided = self.divided[at]
+            if not len(divided):
+                break
+            going = going[divided[np.minimum(np.searchsorted(divided, key[going]), len(divided) - 1)] == key[going]]
+        return key, level
+
+    def homes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, level) of the home cell of each row in each table, table after table."""
+        keys, levels = zip(*(self._walk(self._places(vectors, t)[0], t) for t in range(len(self.shifts))), strict=True)
+        return np.concatenate(keys), np.concatenate(levels)
+
+    def keys(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell key) of each visit of each row; a row visits a cell once."""
+        n, tables = len(vectors), len(self.shifts)
+        rows, keys, places, scores = [], [], [], []
+        for table in range(tables):
+            coordinates, low = self._places(vectors, table)
+            key, level = self._walk(coordinates, table)
+            border = np.concatenate([low, self.widths[: low.shape[1]] - low], axis=1)
+            unused = np.arange(low.shape[1]) >= (level[:, None] + 1) * PER
+            border[np.concatenate([unused, unused], axis=1)] = np.inf
+            rows, keys, places, scores = [*rows, np.arange(n)], [*keys, key], [*places, coordinates], [*scores, border]
+        probes = min(self.visits - tables, tables * scores[0].shape[1]) if n else 0
+        if probes > 0:
+            score = np.concatenate(scores, axis=1)
+            best = np.argpartition(score, probes - 1, axis=1)[:, :probes]
+            row, nth = np.nonzero(np.take_along_axis(score, best, axis=1) <= self.reach)
+            table, move = np.divmod(best[row, nth], scores[0].shape[1])
+            m = scores[0].shape[1] // 2
+            for t in range(tables):
+                own = table == t
+                moved = places[t][row[own]]
+                moved[np.arange(len(moved)), move[own] % m] += np.where(move[own] < m, -1, 1)
+                rows.append(row[own])
+                keys.append(self._walk(moved, t)[0])
+        return np.concatenate(rows), np.concatenate(keys)
+
+
+def meetings(vectors: np.ndarray, target: int, **inner) -> Iterator[np.ndarray]:
+    """The rows of each cell of an inner hash of these unit vectors, for cells that two rows or more visit."""
+    if len(vectors) < 2:
+        return
+    sample = vectors[:: -(-len(vectors) // FIT_ROWS)]
+    rows, keys = Cells.fit(sample, len(vectors), target, **inner).keys(vectors)
+    del vectors
+    order = np.lexsort((rows, keys))
+    rows, keys = rows[order], keys[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    for low, high in zip(start, np.append(start[1:], len(rows)), strict=True):
+        if high - low > 1:
+            yield rows[low:high]
 
 
 class Vectors:
-    """The current records with usable vectors: ``(id, num, vec)``, kept hash-partitioned by id.
+    """The current records with usable vectors: ``rows(id, num, vec)``, kept hash-partitioned by id.
 
     ``num`` numbers the ids in their order (by code point), so that ties can be broken by number and
     only numbers need be shuffled. ``vec`` holds the floats. Kept in memory and on disk; a lost part is
-    computed again."""
+    computed again. Records with equal vectors are a class, represented by the least of them: ``members(id, num,
+    rep)`` has the classes of several records, ``reps`` the rows without the other members."""
 
     def __init__(self, records: DataFrame, dimension: int = 64):
         self.dimension = dimension
@@ -154,30 +219,63 @@ class Vectors:
         now = current_rows(records.select("id", "vector", "updated_at", "ingested_at"))
         now = now.select("id", F.col("vector").cast("array<float>").alias("vec")).where(usable(F.col("vec"), dimension))
         self.rows = now.join(self.numbers, "id").select("id", "num", "vec").persist()
-        self.count = self.rows.count()
+        hashed = self.rows.select("id", "num", F.xxhash64("vec").alias("h"), F.xxhash64(F.lit(SEED), "vec").alias("g"))
+        classes = checkpoint(hashed.groupBy("h", "g").agg(F.min("num").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+        self.copies = not classes.isEmpty()
+        if self.copies:
+            self.members = checkpoint(hashed.join(broadcast_within(classes.select("h", "g", "rep")), ["h", "g"]).select("id", "num", "rep"))
+            # the vectors stay where they are; the ids come to them
+            self.reps = self.rows.join(self.members.where("num <> rep").select("id"), "id", "left_anti")
+        else:
+            self.members, self.reps = classes.select(F.lit("").alias("id"), F.col("rep").alias("num"), "rep"), self.rows
+        self.count = self.reps.count()
+
+    def release(self) -> None:
+        self.rows.unpersist()
 
     def sample(self, rows: int = FIT_ROWS) -> np.ndarray:
         """Unit vectors of about ``rows`` records, drawn by the hash of their id."""
         part = min(1.0, rows / max(self.count, 1))
-        drawn = self.rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select("vec").toArrow()
+        drawn = self.reps.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20)))).select("vec").toArrow()
         matrix = matrix_of(drawn["vec"], width=self.dimension)
         return units(matrix) if len(matrix) else np.zeros((1, self.dimension))
 
-    def visits(self, cells: Cells, kept: Callable[[np.ndarray], np.ndarray] | None) -> DataFrame:
-        """``(key, num, home[, vec])``: a row for each visit of a cell, with the vector as ``kept`` makes it of the float matrix."""
-        width = self.dimension
+    def outer(self, visits: int, reach: float, most: int | None = None) -> tuple[Cells, list[tuple[int, int]]]:
+        """The outer hash, and (key, home rows) of cells that can't be divided although they are overfull.
+
+        Depths are fitted on the sample; then the home rows of all cells are counted over all records, and
+        overfull ones are divided until none is left. What comes to the driver are the overfull cells: at most
+        the number of rows by OVERFULL * target."""
+        target = max(LEAST_ROWS, min(most or MOST_ROWS, self.count // PARTS))
+        cells, width = Cells.fit(self.sample(), self.count, target, visits=visits, reach=reach), self.dimension
+        while True:
+            shared = self.rows.sparkSession.sparkContext.broadcast(cells)
+
+            def homes(batches, shared=shared):
+                for batch in batches:
+                    key, level = shared.value.homes(units(matrix_of(batch.column(0), width=width)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(level)], names=["key", "level"])
+
+            counted = self.reps.select("vec").mapInArrow(homes, "key bigint, level bigint").groupBy("key", "level").agg(F.count("*").alias("n"))
+            full = counted.where(F.col("n") > OVERFULL * target).toArrow()
+            key, level, n = (full[c].to_numpy() for c in ("key", "level", "n"))
+            if not cells.divide(key.view(np.uint64), level):
+                return cells, [(int(k), int(c)) for k, c in zip(key, n, strict=True) if c > BLOCK_ROWS]
+
+    def visits(self, cells: Cells, kept: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """``(key, num, vec)``: a row for each visit of a cell, with the vector as ``kept`` makes it of the float matrix."""
+        width, shared = self.dimension, self.rows.sparkSession.sparkContext.broadcast(cells)
 
         def visit(batches):
             for batch in batches:
                 matrix = matrix_of(batch.column(1), width=width)
-                at, keys, home = cells.keys(units(matrix))
-                arrays = [pa.array(keys), batch.column(0).take(pa.array(at)), pa.array(home)]
-                if kept:
-                    arrays.append(binary_of(kept(matrix)[at]))
+                at, keys = shared.value.keys(units(matrix))
+                small = kept(matrix)
                 for start in range(0, len(at), 20_000):
-                    yield pa.RecordBatch.from_arrays([a.slice(start, 20_000) for a in arrays], names=["key", "num", "home", "vec"][: len(arrays)])
+                    part = at[start : start + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[start : start + 20_000].view(np.int64)), batch.column(0).take(pa.array(part)), binary_of(small[part])], names=["key", "num", "vec"])
 
-        return self.rows.select("num", "vec").mapInArrow(visit, "key bigint, num bigint, home boolean" + ", vec binary" * bool(kept))
+        return self.reps.select("num", "vec").mapInArrow(visit, "key bigint, num bigint, vec binary")
 
     def named(self, pairs: DataFrame, *columns: str) -> DataFrame:
         """``pairs`` with the numbers in ``columns`` replaced by ids."""
@@ -187,19 +285,23 @@ class Vectors:
         return pairs
 
 
-def in_blocks(rows: DataFrame, sizes: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+def in_blocks(rows: DataFrame, hot: DataFrame | None, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """``work`` over the rows of each key: ``(key, num, ...)`` joined by ``low, high, chunk``.
 
-    sizes: ``(key, n)``. Keys of one row are left out, as nothing meets there. A key of more than BLOCK_ROWS rows
-    is cut into chunks by the hash of ``num``; each pair of chunks ``low <= high`` is a group of its own,
-    so a group has at most about 2 * BLOCK_ROWS rows, and every two rows of a key meet in exactly one
+    hot: ``(key, chunks)`` of keys to be cut, or null for none. Such a key's rows are cut into chunks by the hash of ``num``;
+    each pair of chunks ``low <= high`` is a group of its own, and every two rows of a key meet in exactly one
     group of ``low < high`` or ``low = high``."""
-    hot = sizes.where(F.col("n") > BLOCK_ROWS).select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("chunks"))
     zero = F.lit(0)
-    if hot.isEmpty():
+    if hot is None:
         placed = rows.select("*", zero.alias("low"), zero.alias("high"), zero.alias("chunk"))
     else:
         chunks = F.coalesce("chunks", F.lit(1))
         cut = rows.join(broadcast_within(hot, HOT_ROWS), "key", "left").withColumn("chunk", F.pmod(F.xxhash64("num"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(zero, chunks - 1)))
         placed = cut.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("chunks", "other")
     return placed.groupBy("key", "low", "high").applyInArrow(work, schema)
+
+
+def chunked(spark, stuck: list[tuple[int, int]]) -> DataFrame | None:
+    """What ``in_blocks`` is told of cells that can't be divided; their list is bounded as ``Vectors.outer`` says."""
+    rows = [(key, -(-n // BLOCK_ROWS)) for key, n in stuck]
+    return spark.createDataFrame(rows, "key bigint, chunks int") if rows else None

@@ -1,13 +1,15 @@
 """Clusters of mutually similar records (problem 3).
 
-Clustering over a grid: vectors are quantised to the cells of shifted grids (``cells``), records meet in their
-home cell and in adjacent cells whose border is near, records of a cell that are similar are linked, and the
-smallest label is propagated over the links until nothing changes. No density enters: cells are counted only to cut
-large ones into chunks. The result is a division into groups that no similar pair crosses, but for pairs that met in no cell.
-
-An exact check follows: within each group every record gets a signature of all records similar to it (their
-number and two sums of their hashes). Records of one signature, as many as it counts, are similar to each
-other and to no other record.
+Grid density clustering: vectors are quantised to the cells of hashed grids (``cells``). The records of a cell fall
+into parts whose records are linked by similarity; the parts' records are counted, those of at least ``dense`` records
+are kept, adjacent parts are joined where they share a record near the border, and the smallest label is propagated
+over these joins, in SQL, until nothing changes. The result is a division into groups that no similar pair
+crosses, but for pairs that met in no cell.
+
+An exact check follows. A group all of whose records lie within half the bound of its mean direction is a cluster, since
+angles add up at most. Otherwise the records too far out for that are compared: each gets a signature of all records
+similar to it (their number and two sums of their hashes), and records of one signature, as many as it counts, are
+similar to each other and to no other record.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecshift.functions.staging import broadcast_within, checkpoint
-from vecshift.llm.cells import SEED, Cells, Vectors, in_blocks, key_of, matrix_of, units
+from vecshift.llm.cells import Vectors, chunked, in_blocks, matrix_of, meetings, units
 
 #: Half-precision similarities differ from exact ones by less than this.
 HALF_SLACK = 4e-4
@@ -28,7 +30,11 @@ SINGLE_SLACK = 4e-6
 ROWS = 512
 #: Rounds of label propagation at most; each halves the longest chain of links, so 60 are never needed.
 ROUNDS = 60
-#: Projections of a cluster's own grid, and the least step of it: deviations below are rounding.
+#: Rows of a group up to which it is checked in one task.
+GROUP_ROWS = 16_384
+#: Angles (radians) closer to a bound than this are not decided by it.
+ANGLE_SLACK = 1e-6
+#: Features of a cluster's own grid, and the least step of it: deviations below are rounding.
 AXES, LEAST_STEP = 2, 1e-7
 #: Clusters up to which their sums (about half a KB each) are broadcast.
 SUM_ROWS = 50_000
@@ -63,6 +69,7 @@ def propagate_minimum(links: DataFrame) -> DataFrame:
     the links, cut off by a checkpoint. No neighbourhood is collected: the smallest neighbour is an
     aggregate, joined to the links again."""
     links = checkpoint(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _fingerprint(links)
     for _ in range(ROUNDS):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -70,13 +77,36 @@ def propagate_minimum(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         joined = large.join(lowest, "a")
         small = joined.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(lowest.select("a", F.col("low").alias("b"))).distinct()
-        after = checkpoint(small)
-        if after.exceptAll(links).isEmpty() and links.exceptAll(after).isEmpty():
+        links = checkpoint(small)
+        after = _fingerprint(links)
+        if after == before:
             break
-        links = after
+        before = after
+    else:
+        raise RuntimeError(f"labels still change after {ROUNDS} rounds")
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def _fingerprint(links: DataFrame) -> tuple[int, int, int]:
+    """The number of links and two sums of their hashes: equal for equal sets of links."""
+    h = F.xxhash64("a", "b")
+    return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.pmod(h, F.lit(2**31))), F.lit(0)), F.coalesce(F.sum(F.shiftrightunsigned(h, 33)), F.lit(0))).first())
+
+
+def joined_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row it is connected with by links of rows a and b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        for side in (a, b, label[a], label[b]):
+            np.minimum.at(after, side, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
 def _hashes(nums: np.ndarray) -> np.ndarray:
     """Two 31-bit hashes of each number, as doubles: sums of up to 2^22 of them are exact."""
     x = nums.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -109,102 +139,197 @@ def signatures(nums: np.ndarray, matrix: np.ndarray, side: np.ndarray, crossing:
     return count, sums
 
 
+def within_half(matrix: np.ndarray, least: float) -> bool:
+    """Whether all rows lie so near to their mean direction that each two must be similar."""
+    vectors = units(matrix)
+    mean = vectors.sum(0)
+    length = np.sqrt(mean @ mean)
+    return bool(length > 0 and np.arccos(np.clip(vectors @ mean / length, -1, 1)).max() <= np.arccos(least) / 2 - ANGLE_SLACK)
+
+
 class Clusters:
     """The clusters of the current records: sets of at least ``smallest`` records, each similar (cosine >= least)
     to every other of the set and to no record outside it.
 
     records: ``id, vector, updated_at, ingested_at``; rows with null ids and records whose current vector is
-    not usable take no part. An empty table has no clusters; exact copies are similar to each other."""
+    not usable take no part. An empty table has no clusters; exact copies are similar to each other.
+    visits, reach, most: of the outer hash (cells of at most about ``most`` rows); target, tables, probes: of the inner one;
+    dense: the fewest records of a part of a cell that counts. Two is the least that links anything, and needed where
+    a cluster may be as small as three; more make it a coarser, density-based clustering."""
 
-    def __init__(self, records: DataFrame, least: float = 0.85, smallest: int = 3, dimension: int = 64, probes: int = 2, reach: float = 0.06, **cells):
+    def __init__(self, records: DataFrame, least: float = 0.85, smallest: int = 3, dimension: int = 64, visits: int = 5, reach: float = 0.08, target: int = 4_000, tables: int = 2, probes: int = 4, most: int | None = None, dense: int = 2):
         self.vectors = Vectors(records, dimension)
-        self.cells = Cells.fit(self.vectors.sample(), self.vectors.count, probes=probes, reach=reach, **cells)
-        self.least, self.smallest = least, smallest
+        self.outer = (visits, reach, most)
+        self.inner = {"target": target, "tables": tables, "visits": tables + probes, "reach": reach}
+        self.least, self.smallest, self.dense = least, smallest, dense
 
-    def groups(self) -> DataFrame:
-        """``(num, label)``: connected groups of at least ``smallest`` records, named by a number."""
-        least, width = self.least - HALF_SLACK, self.vectors.dimension
+    def parts(self) -> DataFrame:
+        """``(num, part)``: for each visit of a cell the part of the cell the record is in, named by a number; records
+        without a similar one in the cell have none."""
+        least, width, inner = self.least - HALF_SLACK, self.vectors.dimension, self.inner
 
         def link(table: pa.Table) -> pa.Table:
             nums = table["num"].to_numpy()
             order = np.argsort(nums)
             nums, halves = nums[order], matrix_of(table["vec"], np.float16, width)[order].astype(np.float32)
-            label = local_groups(halves, least) if len(nums) > 1 else np.full(len(nums), -1)
-            found = np.flatnonzero(label >= 0)
-            return pa.table({"num": nums[found], "root": nums[label[found]]})
-
-        counts = self.vectors.visits(self.cells, None).groupBy("key").agg(F.count("*").alias("n"))
-        visits = self.vectors.visits(self.cells, lambda matrix: units(matrix).astype(np.float16))
-        roots = in_blocks(visits, counts, link, "num bigint, root bigint")
-        # a record that has several roots links them; links between roots are few
-        first = checkpoint(roots.groupBy("num").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")))
-        labels = propagate_minimum(first.select("low", F.explode("roots").alias("root")).where("low <> root").distinct().toDF("b", "a"))
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for rows in meetings(halves.astype(np.float64), **inner):
+                label = local_groups(halves[rows], least)
+                found = np.flatnonzero(label >= 0)
+                a.append(rows[found])
+                b.append(rows[label[found]])
+            row = np.unique(np.concatenate(a))
+            label = joined_labels(len(nums), np.concatenate(a), np.concatenate(b))
+            return pa.table({"num": nums[row], "part": nums[label[row]]})
+
+        plan, stuck = self.vectors.outer(*self.outer)
+        visits = self.vectors.visits(plan, lambda matrix: units(matrix).astype(np.float16))
+        return in_blocks(visits, chunked(visits.sparkSession, stuck), link, "num bigint, part bigint")
+
+    def groups(self) -> DataFrame:
+        """``(num, label)``: connected groups of classes of equal vectors, named by a number; with those classes of several
+        records that are like no other."""
+        # a part is named by its least record: parts of several cells with one name share that record
+        placed = checkpoint(self.parts())
+        counted = placed.groupBy("part").agg(F.count_distinct("num").alias("n")).where(F.col("n") >= self.dense)
+        placed = placed.join(counted.select("part"), "part", "left_semi")
+        # adjacent parts are joined by the records they share; such joins are few
+        first = checkpoint(placed.groupBy("num").agg(F.min("part").alias("low"), F.collect_set("part").alias("parts")))
+        labels = propagate_minimum(first.select("low", F.explode("parts").alias("part")).where("low <> part").distinct().toDF("b", "a"))
         named = first.select("num", "low").join(labels.toDF("low", "label"), "low", "left").select("num", F.coalesce("label", "low").alias("label"))
+        if self.vectors.copies:
+            several = self.vectors.members.where("num = rep").select("num", F.col("num").alias("label"))
+            named = named.unionByName(several.join(first.select("num"), "num", "left_anti"))
         return checkpoint(named)
 
     def members(self) -> DataFrame:
         """``(num, cluster)``: the members of each cluster and the number of its smallest id."""
-        least, smallest, width = self.least, self.smallest, self.vectors.dimension
         groups = self.groups()
-        sizes = groups.groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") >= smallest)
+        copies = self.vectors.members.groupBy(F.col("rep").alias("num")).agg(F.count("*").alias("size"))
+        sized = groups.join(copies, "num", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        sizes = sized.groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("records")).where(F.col("records") >= self.smallest)
+        sizes = checkpoint(sizes)
+        hot = sizes.where(F.col("n") > GROUP_ROWS).select("key", "n")
+        ids = groups.join(sizes.select(F.col("key").alias("label")), "label", "left_semi").join(self.vectors.numbers, "num").select("id", F.col("label").alias("key"))
+        rows = self.vectors.reps.join(ids, "id").select("key", "num", "vec")  # the vectors stay where they are
+        if hot.isEmpty():
+            signed = self._signed(rows, None)
+        else:
+            shared = broadcast_within(hot, SUM_ROWS)
+            signed = self._signed(rows.join(shared, "key", "left_anti"), None).unionByName(self._large(rows.join(shared, "key")))
+        signed = checkpoint(signed)
+        alike = signed.groupBy("key", "n", "s", "t").agg(F.count("*").alias("alike"), F.min("num").alias("cluster")).where("alike = n")
+        found = signed.join(alike.drop("alike"), ["key", "n", "s", "t"]).select("num", "cluster")
+        if self.vectors.copies:
+            found = found.withColumnRenamed("num", "rep").join(self.vectors.members.select("rep", "num"), "rep", "left").select(F.coalesce("num", "rep").alias("num"), "cluster")
+        # copies count: a cluster may be three records of two vectors
+        enough = found.groupBy("cluster").agg(F.count("*").alias("records")).where(F.col("records") >= self.smallest).select("cluster")
+        return found.join(enough, "cluster", "left_semi").select("num", "cluster")
+
+    def _signed(self, rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+        """``(key, num, n, s, t)``: the signature of each row of ``(key, num, vec)`` within its group."""
+        least, width = self.least, self.vectors.dimension
 
         def sign(table: pa.Table) -> pa.Table:
             nums, chunk = table["num"].to_numpy(), table["chunk"].to_numpy()
             crossing = table["low"][0].as_py() != table["high"][0].as_py()
-            count, sums = signatures(nums, matrix_of(table["vec"], width=width), chunk, crossing, least)
-            return pa.table({"num": nums, "n": count, "s": sums[:, 0], "t": sums[:, 1]})
+            matrix = matrix_of(table["vec"], width=width)
+            if not crossing and within_half(matrix, least):
+                count, sums = np.full(len(nums), len(nums)), np.tile(_hashes(nums).sum(0).astype(np.int64), (len(nums), 1))
+            else:
+                count, sums = signatures(nums, matrix, chunk, crossing, least)
+            return pa.table({"key": table["key"], "num": nums, "n": count, "s": sums[:, 0], "t": sums[:, 1]})
+
+        signed = in_blocks(rows, hot, sign, "key bigint, num bigint, n bigint, s bigint, t bigint")
+        return signed if hot is None else signed.groupBy("key", "num").agg(*[F.sum(c).alias(c) for c in "nst"])
+
+    def _large(self, rows: DataFrame) -> DataFrame:
+        """``_signed`` of groups of many rows: ``(key, num, vec, n)``.
+
+        The angle of each row to its group's mean direction is measured. Rows whose angle and the greatest of the group
+        add up to less than the bound are similar to the whole group; only the others are compared with each
+        other, in chunks. The number of such groups is at most that of the rows by GROUP_ROWS."""
+        width, bound = self.vectors.dimension, float(np.arccos(self.least)) - ANGLE_SLACK
+        axes = [f"x{j}" for j in range(width)]
+
+        def add(batches):
+            for batch in batches:
+                vectors, (key, at) = units(matrix_of(batch.column(1), width=width)), np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                sums = np.zeros((len(key), width))
+                np.add.at(sums, at, vectors)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(c) for c in sums.T]], names=["key", *axes])
 
-        ids = groups.join(sizes.select(F.col("key").alias("label")), "label", "left_semi").join(self.vectors.numbers, "num").select("id", F.col("label").alias("key"))
-        rows = self.vectors.rows.join(ids, "id").select("key", "num", "vec")
-        signed = in_blocks(rows, sizes, sign, "num bigint, n bigint, s bigint, t bigint").groupBy("num").agg(*[F.sum(c).alias(c) for c in "nst"])
-        signed = checkpoint(signed.where(F.col("n") >= smallest))
-        alike = signed.groupBy("n", "s", "t").agg(F.count("*").alias("size"), F.min("num").alias("cluster")).where("size = n")
-        return signed.join(alike, ["n", "s", "t"]).select("num", "cluster")
+        def measure(batches):
+            for batch in batches:
+                vectors, mean = units(matrix_of(batch.column(2), width=width)), units(matrix_of(batch.column(3), width=width) + 0.0)
+                angle = np.arccos(np.clip(np.einsum("ij,ij->i", vectors, mean), -1, 1))
+                h = _hashes(batch.column(1).to_numpy()).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(angle), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["key", "num", "angle", "s", "t"])
+
+        sums = rows.select("key", "vec").mapInArrow(add, "key bigint, " + ", ".join(f"{x} double" for x in axes)).groupBy("key").agg(*[F.sum(x).alias(x) for x in axes])
+        # a mean of nothing but zeros has no direction: any will do
+        zero = F.array_max(F.transform(F.array(*axes), F.abs)) == 0
+        means = checkpoint(sums.select("key", F.when(zero, F.array(F.lit(1.0), *[F.lit(0.0)] * (width - 1))).otherwise(F.array(*axes)).alias("mean")))
+        measured = rows.join(broadcast_within(means, SUM_ROWS), "key").select("key", "num", "vec", "mean").mapInArrow(measure, "key bigint, num bigint, angle double, s bigint, t bigint")
+        measured = checkpoint(measured)
+        whole = measured.groupBy("key").agg(F.count("*").alias("n"), F.sum("s").alias("all_s"), F.sum("t").alias("all_t"), F.max("angle").alias("widest"))
+        placed = measured.join(broadcast_within(checkpoint(whole), SUM_ROWS), "key").withColumn("inner", F.col("angle") + F.col("widest") <= bound)
+        inner = placed.where("inner").select("key", "num", "n", F.col("all_s").alias("s"), F.col("all_t").alias("t"))
+        outside = checkpoint(placed.where("not inner").select("key", "num", "s", "t"))
+        if outside.isEmpty():
+            return inner
+        totals = outside.groupBy("key").agg(F.count("*").alias("out"), F.sum("s").alias("out_s"), F.sum("t").alias("out_t")).join(whole, "key")
+        hot = checkpoint(totals.select("key", F.ceil(F.col("out") / GROUP_ROWS).cast("int").alias("chunks")))
+        signed = self._signed(rows.join(outside.select("key", "num"), ["key", "num"], "left_semi").select("key", "num", "vec"), hot)
+        plus = totals.select("key", (F.col("n") - F.col("out")).alias("dn"), (F.col("all_s") - F.col("out_s")).alias("ds"), (F.col("all_t") - F.col("out_t")).alias("dt"))
+        outer = signed.join(broadcast_within(plus, SUM_ROWS), "key").select("key", "num", (F.col("n") + F.col("dn")).alias("n"), (F.col("s") + F.col("ds")).alias("s"), (F.col("t") + F.col("dt")).alias("t"))
+        return inner.unionByName(outer)
 
     def found(self) -> DataFrame:
         """``(id, cluster_id)``: one row per member; ``cluster_id`` is the smallest id of the cluster."""
         return self.vectors.named(self.members(), "num", "cluster").select(F.col("num").alias("id"), F.col("cluster").alias("cluster_id"))
 
     def described(self, shown: int = 3) -> DataFrame:
-        """``(cluster_id, size, densest_cell_size, typical)``: each cluster's size, the number of members in its
-        densest grid cell, and its ``shown`` most typical members, listed by id.
+        """``(cluster_id, size, densest_cell_size, place, member)``: each cluster's size, the number of members in its
+        densest grid cell, and its ``shown`` most typical members, a row for each.
 
         Typical are the members closest to the cluster's mean direction (cosine, rounded to nine digits; ties by id),
-        which are those of greatest mean cosine to the cluster. All members are ranked: a cell shows a few projections
-        only, and its members needn't be central. The grid is the cluster's own: AXES projections, quantised about
+        which are those of greatest mean cosine to the cluster. All members are ranked: a cell shows a few features
+        only, and its members needn't be central. The grid is the cluster's own: AXES features, quantised about
         its mean in steps of two of its standard deviations. Means and deviations come from sums aggregated by
         cluster before any shuffle."""
         width, members = self.vectors.dimension, checkpoint(self.members())
-        axes = np.linalg.qr(np.random.default_rng(SEED).normal(size=(width, min(AXES, width))))[0]
-        fields = [f"s{i}" for i in range(width)] + [f"q{j}" for j in range(axes.shape[1])]
+        axes = min(AXES, width)
+        fields = [f"s{i}" for i in range(width)] + [f"q{j}" for j in range(axes)]
 
         def unit(batches):
             for batch in batches:
-                vectors = units(matrix_of(batch.column(1), width=width))
-                columns = np.concatenate([vectors, np.square(vectors @ axes)], axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in columns.T]], names=["cluster", *fields])
+                vectors, (key, at) = units(matrix_of(batch.column(1), width=width)), np.unique(batch.column(0).to_numpy(), return_inverse=True)
+                sums = np.zeros((len(key), len(fields)))
+                np.add.at(sums, at, np.concatenate([vectors, np.square(vectors[:, :axes])], axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at)), *[pa.array(c) for c in sums.T]], names=["cluster", "n", *fields])
 
         def place(batches):
             for batch in batches:
                 vectors, n = units(matrix_of(batch.column(2), width=width)), batch.column(3).to_numpy()[:, None]
                 sums = matrix_of(batch.column(4), width=len(fields))
                 mean = sums[:, :width] / n
-                close = np.einsum("ij,ij->i", vectors, mean) / np.sqrt(np.einsum("ij,ij->i", mean, mean))
-                middle = mean @ axes
-                step = 2 * np.sqrt(np.maximum(sums[:, width:] / n - np.square(middle), 0))
+                length = np.sqrt(np.einsum("ij,ij->i", mean, mean))
+                close = np.divide(np.einsum("ij,ij->i", vectors, mean), length, out=np.zeros(len(mean)), where=length > 0)
+                step = 2 * np.sqrt(np.maximum(sums[:, width:] / n - np.square(mean[:, :axes]), 0))
                 # rounded, so that the order of the sums decides no border; copies have one cell
-                at = np.floor(np.round(np.divide(vectors @ axes - middle, step, out=np.zeros_like(middle), where=step > LEAST_STEP) + 0.5, 6)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(close * 1e9).astype(np.int64)), pa.array(key_of(at, 0))], names=["num", "cluster", "close", "key"])
+                at = np.divide(vectors[:, :axes] - mean[:, :axes], step, out=np.zeros_like(step), where=step > LEAST_STEP)
+                cell = pa.array(np.floor(np.round(at + 0.5, 6)).astype(np.int64).tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.rint(close * 1e9).astype(np.int64)), cell], names=["num", "cluster", "close", "cell"])
 
         # the vectors stay where they are; ids and sums come to them
         rows = self.vectors.rows.join(members.join(self.vectors.numbers, "num").select("id", "cluster"), "id").select("num", "cluster", "vec")
-        sums = rows.select("cluster", "vec").mapInArrow(unit, "cluster bigint, " + ", ".join(f"{f} double" for f in fields))
-        sums = checkpoint(sums.groupBy("cluster").agg(F.count("*").alias("size"), *[F.sum(f).alias(f) for f in fields]).select("cluster", "size", F.array(*fields).alias("sums")))
+        sums = rows.select("cluster", "vec").mapInArrow(unit, "cluster bigint, n bigint, " + ", ".join(f"{f} double" for f in fields))
+        sums = checkpoint(sums.groupBy("cluster").agg(F.sum("n").alias("size"), *[F.sum(f).alias(f) for f in fields]).select("cluster", "size", F.array(*fields).alias("sums")))
         placed = rows.join(broadcast_within(sums, SUM_ROWS), "cluster").select("num", "cluster", "vec", "size", "sums")
-        placed = checkpoint(placed.mapInArrow(place, "num bigint, cluster bigint, close bigint, key bigint"))
-        cells = placed.groupBy("cluster", "key").agg(F.count("*").alias("n"))
-        sizes = cells.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("densest"))
+        placed = checkpoint(placed.mapInArrow(place, "num bigint, cluster bigint, close bigint, cell array<bigint>"))
+        cells = placed.groupBy("cluster", "cell").agg(F.count("*").alias("n"))
+        sizes = cells.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("densest_cell_size"))
         nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("close"), "num"))
-        top = placed.withColumn("nth", nth).where(F.col("nth") <= shown).select("cluster", "num").join(sizes, "cluster")
-        top = self.vectors.named(top, "num", "cluster")
-        return top.groupBy(F.col("cluster").alias("cluster_id")).agg(F.first("size").alias("size"), F.first("densest").alias("densest_cell_size"), F.sort_array(F.collect_list("num")).alias("typical"))
+        top = placed.withColumn("place", nth).where(F.col("place") <= shown).select("cluster", "num", F.col("place").cast("bigint").alias("place")).join(sizes, "cluster")
+        return self.vectors.named(top, "num", "cluster").select(F.col("cluster").alias("cluster_id"), "size", "densest_cell_size", "place", F.col("num").alias("member"))

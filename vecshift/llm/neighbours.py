@@ -3,7 +3,7 @@
 Multiprobe p-stable hashing (``cells``): every record is indexed in its home bucket of each table and visits
 perturbed buckets in order of estimated success; candidates of all tables are ranked by their exact cosine and
 merged. Within a bucket similarities are computed in blocks; only the best of each record leave the task.
-Exact copies are compared once: a class of equal vectors stands for its members.
+A class of equal vectors is represented by its least member, before anything is hashed, and stands for all of them after.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshift.llm.cells import Cells, Vectors, in_blocks, matrix_of, units
+from vecshift.functions.staging import broadcast_within, checkpoint
+from vecshift.llm.cells import Vectors, chunked, in_blocks, matrix_of, meetings, units
 
 #: Digits to which cosines are rounded; they are compared as whole numbers of this unit.
 DIGITS = 9
@@ -67,43 +68,32 @@ def _dense(exact: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return row, other.ravel(), cosine[row, other.ravel()]
 
 
-def bucket_neighbours(nums: np.ndarray, matrix: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(num, other num, cosine) of the k best others of each record among the given ones."""
+def best_of(row: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each row by cosine, ties by the lower other; a candidate found several times counts once."""
+    order = np.lexsort((-cosine, other, row))
+    row, other, cosine = row[order], other[order], cosine[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (other[1:] != other[:-1]))[: len(row)]
+    row, other, cosine = row[new], other[new], cosine[new]
+    order = np.lexsort((other, -cosine, row))
+    row, other, cosine = row[order], other[order], cosine[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], other[best], cosine[best]
+
+
+def cell_neighbours(nums: np.ndarray, matrix: np.ndarray, k: int, least: float, **inner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(num, other num, cosine) of the k best others of each record among those it meets."""
     order = np.argsort(nums)
-    nums, matrix = nums[order], matrix[order] + np.float32(0)
-    _, first, member = np.unique(np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.itemsize * matrix.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    by_first = np.argsort(first)  # classes in order of their least member
-    place = np.empty(len(first), np.int64)
-    place[by_first] = np.arange(len(first))
-    member, first = place[member], first[by_first]
-    row, other, cosine = top_pairs(matrix[first], k, least)
-    if len(first) == len(nums):
-        return nums[row], nums[other], cosine
-    # each class stands for its k + 1 least members; a class of several is near itself
-    order = np.argsort(member, kind="stable")
-    start = np.searchsorted(member[order], np.arange(len(first)))
-    size = np.bincount(member, minlength=len(first))
-    many = np.flatnonzero(size > 1)
-    row, other, cosine = np.concatenate([row, many]), np.concatenate([other, many]), np.concatenate([cosine, np.full(len(many), UNIT)])
-    shown = np.minimum(size[other], k + 1)
-    pair = np.repeat(np.arange(len(row)), shown)
-    nth = np.arange(len(pair)) - np.repeat(np.cumsum(shown) - shown, shown)
-    row, target, cosine = row[pair], order[start[other[pair]] + nth], cosine[pair]
-    # the members of a class share its candidates, each without itself
-    sort = np.lexsort((target, -cosine, row))
-    row, target, cosine = row[sort], target[sort], cosine[sort]
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    row, target, cosine = row[nth <= k], target[nth <= k], cosine[nth <= k]
-    spread = size[row]
-    pair = np.repeat(np.arange(len(row)), spread)
-    nth = np.arange(len(pair)) - np.repeat(np.cumsum(spread) - spread, spread)
-    source, target, cosine = order[start[row[pair]] + nth], target[pair], cosine[pair]
-    keep = source != target
-    source, target, cosine = source[keep], target[keep], cosine[keep]
-    sort = np.lexsort((target, -cosine, source))
-    source, target, cosine = source[sort], target[sort], cosine[sort]
-    best = np.arange(len(source)) - np.searchsorted(source, source) < k
-    return nums[source[best]], nums[target[best]], cosine[best]
+    nums, matrix = nums[order], matrix[order]
+    found = [(np.empty(0, np.int64),) * 3]
+    waiting = 0
+    for rows in meetings(units(matrix), **inner):
+        row, other, cosine = top_pairs(matrix[rows], k, least)
+        found.append((rows[row], rows[other], cosine))
+        waiting += len(row)
+        if waiting > 4 * k * len(nums) + 1_000_000:
+            found, waiting = [best_of(*(np.concatenate(x) for x in zip(*found, strict=True)), k)], 0
+    row, other, cosine = best_of(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+    return nums[row], nums[other], cosine
 
 
 def _packed(source: np.ndarray, target: np.ndarray, cosine: np.ndarray) -> pa.Table:
@@ -119,17 +109,17 @@ def _packed(source: np.ndarray, target: np.ndarray, cosine: np.ndarray) -> pa.Ta
 CANDIDATE = np.dtype([("num", "<i8"), ("cosine", "<i4")])
 
 
-def neighbours(vectors: Vectors, k: int = 5, least: float = 0.85, **cells) -> DataFrame:
-    """``(num, other, cosine)``: of each record of ``vectors`` the at most k others of greatest cosine >= least.
+def neighbours(vectors: Vectors, k: int = 5, least: float = 0.85, visits: int = 3, reach: float = 0.08, target: int = 4_000, tables: int = 2, probes: int = 3, most: int | None = None) -> DataFrame:
+    """``(num, other, cosine)``: of each class of equal vectors the at most k others of greatest cosine >= least.
 
     Cosines are of doubles, rounded to DIGITS digits; ties go to the smaller id. Approximate: a pair that
-    shares no visited bucket is missed; ``cells`` are parameters of ``Cells.fit``. Records without a usable
-    vector have no row, nor have records without a similar one."""
-    plan = Cells.fit(vectors.sample(), vectors.count, **cells)
+    shares no visited cell is missed. visits, reach, most: of the outer hash (cells of at most about ``most`` rows); target, tables,
+    probes: of the inner one. Records without a usable vector have no row, nor have those without a similar one."""
+    plan, stuck = vectors.outer(visits, reach, most)
     width = vectors.dimension
 
     def work(table: pa.Table) -> pa.Table:
-        return _packed(*bucket_neighbours(table["num"].to_numpy(), matrix_of(table["vec"], width=width), k, least))
+        return _packed(*cell_neighbours(table["num"].to_numpy(), matrix_of(table["vec"], width=width), k, least, target=target, tables=tables, visits=tables + probes, reach=reach))
 
     def merge(batches):
         for batch in batches:
@@ -138,23 +128,43 @@ def neighbours(vectors: Vectors, k: int = 5, least: float = 0.85, **cells) -> Da
             pairs = np.frombuffer(b"".join(flat.to_pylist()), CANDIDATE)
             counts = np.array(pc.binary_length(flat), dtype=np.int64) // CANDIDATE.itemsize
             row = np.repeat(np.repeat(np.arange(len(own)), np.diff(np.asarray(lists.offsets))), counts)
-            seen = np.unique(np.rec.fromarrays([row, -pairs["cosine"].astype(np.int64), pairs["num"]], names="row,cosine,num"))
-            best = np.arange(len(seen)) - np.searchsorted(seen["row"], seen["row"]) < k
-            yield pa.RecordBatch.from_arrays([pa.array(own[seen["row"][best]]), pa.array(np.ascontiguousarray(seen["num"][best])), pa.array(-seen["cosine"][best] / UNIT)], names=["num", "other", "cosine"])
+            row, other, cosine = best_of(row, pairs["num"], pairs["cosine"].astype(np.int64), k)
+            yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(np.ascontiguousarray(other)), pa.array(cosine / UNIT)], names=["num", "other", "cosine"])
 
-    sizes = vectors.visits(plan, None).groupBy("key").agg(F.count("*").alias("n"))
-    found = in_blocks(vectors.visits(plan, lambda matrix: matrix), sizes, work, "num bigint, near binary")
+    found = in_blocks(vectors.visits(plan, lambda matrix: matrix), chunked(vectors.rows.sparkSession, stuck), work, "num bigint, near binary")
     lists = found.groupBy("num").agg(F.collect_list("near").alias("near"))
     return lists.mapInArrow(merge, "num bigint, other bigint, cosine double")
 
 
+def of_members(vectors: Vectors, near: DataFrame, k: int) -> DataFrame:
+    """``(num, other, cosine)`` of records, from that of classes of equal vectors.
+
+    Among the k best classes of a class, with the members of each, and its own members, are the k best records of each
+    of its members. A class shows no more than its k + 1 least members, so nothing grows with its size but its own rows."""
+    if not vectors.copies:
+        return near
+    near, members = checkpoint(near), vectors.members.select("num", "rep")
+    first = F.row_number().over(Window.partitionBy("rep").orderBy("num"))
+    shown = members.withColumn("nth", first).where(F.col("nth") <= k + 1).select(F.col("rep").alias("other"), F.col("num").alias("member"))
+    own = members.where("num = rep").select("num", F.col("num").alias("other"), F.lit(1.0).alias("cosine"))
+    listed = near.unionByName(own).join(shown, "other", "left").select("num", F.coalesce("member", "other").alias("other"), "cosine")
+    nth = F.row_number().over(Window.partitionBy("num").orderBy(F.desc("cosine"), "other"))
+    listed = checkpoint(listed.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
+    several = members.where("num = rep").select("num")
+    shared = broadcast_within(listed.join(several, "num", "left_semi").withColumnRenamed("num", "rep"))
+    alone = listed.join(several, "num", "left_anti")
+    each = members.join(shared, "rep").where("num <> other").select("num", "other", "cosine")
+    return alone.unionByName(each).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+
 def neighbour_pairs(records: DataFrame, k: int = 5, least: float = 0.85, dimension: int = 64, **cells) -> DataFrame:
     """``(id_a, id_b)`` with id_a < id_b: pairs of which at least one is a neighbour of the other.
 
     records: ``id, vector, updated_at, ingested_at``, several versions of a record being allowed. Rows with null
     ids and records whose current vector is not usable (null, another length, an element that is null or not
-    finite, all zero) take no part. An empty table gives no pairs."""
+    finite, all zero) take no part. An empty table gives no pairs. ``cells``: see ``neighbours``."""
     vectors = Vectors(records, dimension)
-    near = neighbours(vectors, k, least, **cells)
-    pairs = near.select(F.least("num", "other").alias("id_a"), F.greatest("num", "other").alias("id_b")).distinct()
+    near = of_members(vectors, neighbours(vectors, k, least, **cells), k)
+    pairs = checkpoint(near.select(F.least("num", "other").alias("id_a"), F.greatest("num", "other").alias("id_b")).distinct())
+    vectors.release()
     return vectors.named(pairs, "id_a", "id_b").select("id_a", "id_b")
