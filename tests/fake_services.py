@@ -8,6 +8,10 @@ from urllib.parse import parse_qs, urlsplit
 from vecshift.sources.remote import HttpError
 
 
+def similarity(a, b):
+    return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+
+
 class FakeIndex:
     def __init__(self, folder, n=0, pod=False):
         self.folder, self.pod = Path(folder), pod
@@ -36,6 +40,10 @@ class FakeIndex:
         if parts.path.endswith("vectors/fetch"):
             there = [json.loads((self.folder / f"{i}.json").read_text()) for i in query["ids"] if i in names]
             return {"vectors": {v["id"]: v for v in there}}
+        if parts.path.endswith("/query"):
+            every = [json.loads((self.folder / f"{n}.json").read_text()) for n in names]
+            best = sorted(((similarity(v["values"], body["vector"]), v["id"]) for v in every), key=lambda x: (-x[0], x[1]))
+            return {"matches": [{"id": i, "score": s} for s, i in best[: body["topK"]]]}
         if parts.path.endswith("vectors/upsert"):
             for v in body["vectors"]:
                 self.put(v)
@@ -56,7 +64,7 @@ class FakePoints:
         files = {p.stem: p for p in self.folder.glob("*.json")}
         if path == "/collections":
             return {}
-        if re.fullmatch(r"/collections/\w+", path):
+        if method == "GET" and re.fullmatch(r"/collections/\w+", path):
             one = {"size": 3, "distance": "Cosine"}
             return {"result": {"points_count": len(files), "config": {"params": {"vectors": {"dense-vector": one} if self.named else one}}}}
         if path.endswith("/points/scroll"):
@@ -65,6 +73,13 @@ class FakePoints:
             points = [json.loads(files[i].read_text()) for i in every[start : start + body["limit"]]]
             rest = every[start + body["limit"] :]
             return {"result": {"points": points, "next_page_offset": (int(rest[0]) if rest[0].isdigit() else rest[0]) if rest else None}}
+        if method in ("PUT", "DELETE") and re.fullmatch(r"/collections/\w+", path):
+            return {"result": True}
+        if path.endswith("/points/search"):
+            vector = body["vector"]["vector"] if isinstance(body["vector"], dict) else body["vector"]
+            every = [json.loads(p.read_text()) for p in files.values()]
+            best = sorted(((similarity(next(iter(p["vector"].values())) if isinstance(p["vector"], dict) else p["vector"], vector), str(p["id"]), p) for p in every), key=lambda x: (-x[0], x[1]))
+            return {"result": [{"id": p["id"], "score": s, "payload": p.get("payload")} for s, _, p in best[: body["limit"]]]}
         if path.endswith("/points/delete"):
             for i in body["points"]:
                 files[str(i)].unlink()

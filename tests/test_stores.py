@@ -129,19 +129,18 @@ def test_retries():
 
 
 def test_page_source_and_stream_sync(spark, tmp_path):
-    pages.register(spark)
     folder = tmp_path / "pages"
     folder.mkdir()
     for n in range(4):
         (folder / f"p{n}.json").write_text(json.dumps({"records": [{"id": f"i{n}-{k}", "vector": [n, k], "payload": {"n": n}} for k in range(3)]}))
     (folder / "p4.json").write_text("broken")
     (folder / "p5.json").write_text('{"records": null}')
-    assert spark.read.format("scan_pages").option("path", str(folder)).load().count() == 12
+    assert pages.read_pages(spark, str(folder)).count() == 12 and pages.read_pages(spark, str(folder)).first()["payload"].startswith('{"n":')
     store = FileStore(spark, f"file://{tmp_path}/s")
     store.upsert("c", records(spark, [("i0-0", None, [7.0, 7.0], "{}")]), 0)
 
     def run(policy):
-        stream = spark.readStream.format("scan_pages").option("path", str(folder)).load()
+        stream = pages.stream_pages(spark, str(folder), 2)
         query = sync(stream, store, "c", str(tmp_path / "checkpoint"), policy, once=False)
         query.processAllAvailable()
         query.stop()
@@ -151,6 +150,59 @@ def test_page_source_and_stream_sync(spark, tmp_path):
     (folder / "p6.json").write_text(json.dumps({"records": [{"id": "late", "vector": [1, 1]}, {"id": None, "vector": [1, 1]}]}))
     run("skip")
     assert store.read("c").count() == 13
+    (folder / "p2-late.json").write_text(json.dumps({"records": [{"id": "between", "vector": [1, 1]}]}))  # a name before those seen
+    run("skip")
+    assert store.read("c").count() == 14 and store.fetch("c", spark.createDataFrame([("between",)], "id string")).count() == 1
+
+
+def test_scan_over_namespaces_without_loss(spark, tmp_path):
+    store = FileStore(spark, f"file://{tmp_path}/s")
+    rows = [(i, space, [1.0], None) for i in ("a", "b", "c") for space in (None, "x", "y")]
+    store.upsert("c", records(spark, rows), 1)
+    for size in (1, 2, 4, 9, 10):
+        seen, cursor = [], None
+        while True:
+            page, cursor = store.scan("c", size, cursor)
+            seen += [(r.id, r.namespace) for r in page.collect()]
+            if cursor is None:
+                break
+        assert sorted(seen, key=str) == sorted(((i, s) for i, s, _, _ in rows), key=str)
+
+
+def test_batches_are_held_by_one_owner(spark, tmp_path):
+    store = FileStore(spark, f"file://{tmp_path}/s")
+    one = lambda i: records(spark, [(i, None, [1.0], None)])
+    first = store.reserve("c", "m1")
+    assert store.reserve("c", "m1") == first and store.reserve("c", "m2") == first + 1
+    store.upsert("c", one("a"), first, owner="m1")
+    with pytest.raises(ValueError, match="held"):
+        store.upsert("c", one("z"), first, owner="m2")
+    assert store.reserve("c", "m1") == first + 2 and store.batches("c") == [first]
+    store.upsert("c", one("b"), first + 1, owner="m2")
+    store.undo("c", [first])
+    assert ids(store.read("c")) == ["b"] and store.reserve("c", "m3") == first + 3
+
+
+@pytest.mark.parametrize("step", [0, 1, 2])
+def test_compact_broken_off(spark, tmp_path, monkeypatch, step):
+    store = FileStore(spark, f"file://{tmp_path}/s")
+    for n in range(3):
+        store.upsert("c", records(spark, [(f"i{n}", None, [float(n)], None), ("same", None, [float(n)], None)]), n + 1)
+    before, moved, move = sorted(map(str, store.read("c").collect())), [], store._move
+
+    def broken(old, new):
+        if len(moved) == step:
+            raise OSError("lost")
+        moved.append(old)
+        move(old, new)
+
+    monkeypatch.setattr(store, "_move", broken)
+    with pytest.raises(OSError):
+        store.compact("c")
+    again = FileStore(spark, f"file://{tmp_path}/s")
+    assert sorted(map(str, again.read("c").collect())) == before
+    again.compact("c")
+    assert sorted(map(str, again.read("c").collect())) == before and again.batches("c") == [0]
 
 
 @pytest.fixture
@@ -240,3 +292,110 @@ def test_embedding(spark):
 
     remote_model = embed.RemoteEmbedder("https://x", "m", 2, "key", transport)
     assert remote_model(["a", "bb", "ccc"])[:, 0].tolist() == [1, 2, 3] and calls == [3]
+
+
+class Interrupted(Exception):
+    pass
+
+
+def broken_after(store, n, monkeypatch):
+    """Lets n batches through, then writes half of one and fails."""
+    write, calls = store.upsert, []
+
+    def upsert(name, rows, batch, *args, **kwargs):
+        calls.append(batch)
+        if len(calls) > n:
+            write(name, rows.orderBy("id").limit(max(1, rows.count() // 2)), batch, *args, **kwargs)
+            raise Interrupted("connection lost")
+        return write(name, rows, batch, *args, **kwargs)
+
+    monkeypatch.setattr(store, "upsert", upsert)
+
+
+@pytest.mark.parametrize("kind", ["files", "index", "points"])
+@pytest.mark.parametrize("policy", ["fail", "overwrite"])
+def test_paged_copy_goes_on_where_it_broke_off_and_is_rolled_back_exactly(spark, tmp_path, monkeypatch, kind, policy):
+    source = FileStore(spark, f"file://{tmp_path}/a")
+    source.create("c")
+    source.upsert("c", records(spark, [(str(n), None, [float(np.cos(n)), float(np.sin(n)), 0.0], json.dumps({"n": n})) for n in range(50)]), 1)
+    (tmp_path / "services").mkdir()
+    make = {"files": lambda: FileStore(spark, f"file://{tmp_path}/b"), "index": lambda: remote.PagedIndex(spark, "https://x", None, FakeIndex(tmp_path / "services")), "points": lambda: remote.PointStore(spark, "https://x", None, FakePoints(tmp_path / "services"))}[kind]
+    target = make()
+    old = [("9000", None, [0.5, 0.5, 0.0], '{"old": 1}')] + ([("7", None, [0.1, 0.2, 0.3], '{"old": 2}')] if policy == "overwrite" else [])
+    target.upsert("c", records(spark, old), 0)
+    plain = lambda df: sorted((r.id, [round(x, 5) for x in r.vector], json.loads(r.payload or "{}")) for r in df.collect())
+    before = plain(target.read("c"))
+    options = {"target_provider": kind, "target_resource": "c", "embedding_provider": "p", "embedding_model": "m", "page_records": 20, "id_collision_policy": policy, "migration_id": f"{kind}-{policy}"}
+    broken_after(target, 1, monkeypatch)
+    first = Migration(spark, request(**options), source, target, str(tmp_path / "w")).run()
+    assert first.state == "FAILED" and "connection lost" in first.summary
+    target = make()
+    work = Migration(spark, request(resume=True, **options), source, target, str(tmp_path / "w"))
+    result = work.run()
+    assert result.status == "success", result.summary
+    assert ids(target.read("c")) == sorted([str(n) for n in range(50)] + ["9000"]) and result.report["written"] == 50
+    assert [(r.vectors_read, r.total_written) for r in work.progress().orderBy("batch").collect()] == [(20, 20), (20, 40), (10, 50)]
+    assert work.rollback() == 3 and plain(target.read("c")) == before and work.rollback() == 0
+
+
+def test_store_search(spark, tmp_path):
+    rows = records(spark, [(f"r{n}", None, [float(np.cos(n / 9)), float(np.sin(n / 9)), 0.0], "{}") for n in range(20)])
+    queries = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "id string, vector array<double>")
+    (tmp_path / "i").mkdir(), (tmp_path / "p").mkdir()
+    for store in (contract.build_store(spark, "memory"), remote.PagedIndex(spark, "https://x", None, FakeIndex(tmp_path / "i")), remote.PointStore(spark, "https://x", None, FakePoints(tmp_path / "p"))):
+        with store.ephemeral("cosine", 3) as name:
+            store.upsert(name, rows, 1)
+            found = store.query(name, queries, 3, width=64).orderBy("rank").collect()
+            assert [r.id for r in found] == ["r0", "r1", "r2"] and found[0].score == pytest.approx(1.0) and [r["rank"] for r in found] == [1, 2, 3]
+        assert not isinstance(store, FileStore) or store.read(name).count() == 0
+
+
+def test_a_kept_fit_is_applied_again(spark, stores, tmp_path, monkeypatch):
+    source, target = stores
+    options = {"migration_id": "k", "target_dimension": 16, "minimum_recall": 0.3, "minimum_ndcg": 0.3, "maximum_overlap_drop": 0.95, "page_records": 200}
+    broken_after(target, 1, monkeypatch)
+    first = Migration(spark, request(**options), source, target, str(tmp_path / "w"))
+    assert first.run().state == "FAILED" and first.state["fit"]["strategy"] in ("pca", "random_projection")
+    source.upsert("c", clustered(spark, 60, seed=9), 2)  # the source changes meanwhile
+    work = Migration(spark, request(resume=True, **options), source, FileStore(spark, target.root), str(tmp_path / "w"))
+    result = work.run()
+    assert result.status == "success", result.summary
+    assert work.state["fit"] == first.state["fit"] == result.report["provenance"]["fit"]
+    assert (work.function().__self__.matrix == first.function().__self__.matrix).all()
+    kept = tmp_path / "w" / "fits" / "k.json"
+    kept.write_text(kept.read_text().replace("before", "before", 1).replace("0.", "1.", 1))
+    with pytest.raises(RuntimeError, match="fit"):
+        Migration(spark, request(resume=True, **options), source, target, str(tmp_path / "w"))._load().function()
+
+
+def test_approval_and_golden_gate(spark, stores, tmp_path):
+    source, target = stores
+    options = {"migration_id": "g", "embedding_provider": "p", "embedding_model": "m", "needs_approval": True}
+    work = Migration(spark, request(**options), source, target, str(tmp_path / "w"))
+    waiting = work.run()
+    assert waiting.status == "waiting" and waiting.report["ready"] and target.read("d").count() == 0
+    with pytest.raises(ValueError):
+        work.approve("never-run")
+    work.approve(None)
+    assert Migration(spark, request(resume=True, **options), source, target, str(tmp_path / "w")).run().status == "waiting"
+    work.approve(waiting.report["benchmark_id"])
+    wrong = source.sample("c", 5).select(F.col("id").alias("query_id"), "vector", F.array("id").alias("expected_ids"))
+    again = Migration(spark, request(resume=True, **options), source, target, str(tmp_path / "w"), golden=wrong)
+    again._metric = lambda: "cosine"
+    assert again.run().status == "success" and again.state["validation"]["retrieval"]["passed"] and again.state["validation"]["mode"] == "golden"
+    # a target whose records are not those of the source fails the gate
+    target.upsert("d", records(spark, [(f"doc-{n:04d}", None, [float(x) for x in np.random.default_rng(n).normal(size=32)], None) for n in range(300)]), 99)
+    again.state["next_state"] = "VERIFY"
+    again.state["selected"]["strategy"] = "pca"
+    with pytest.raises(RuntimeError, match="golden"):
+        again._verify()
+
+
+def test_weights_decide(spark):
+    from vecshift.operators import selection
+
+    rows = spark.createDataFrame([("a", "pca", True, 0.9, 10.0), ("b", "mrl", True, 0.95, 500.0)], "benchmark_id string, strategy string, passed_quality_gate boolean, quality double, latency_ms double")
+    assert selection.select(rows).first()["benchmark_id"] == "b"
+    assert selection.select(rows, weights={"quality": 0.1, "latency_ms": 0.9}).first()["benchmark_id"] == "a"
+    with pytest.raises(ValueError):
+        request(weights={"beauty": 1.0})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,15 +17,23 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset (tests, one
-    machine) a temporary folder is made and set as the checkpoint folder."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the checkpoint folder set in the context. Where
+    neither is set (tests, one machine) a temporary folder is made and set as the checkpoint folder, and removed when
+    the driver ends; on a cluster that is refused."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app = context.applicationId
     if app not in _own_dir:
+        kept = context.getCheckpointDir()
+        if kept:
+            return kept.rstrip("/")
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         _own_dir[app] = tempfile.mkdtemp(prefix="vecshift-")
-        spark.sparkContext.setCheckpointDir(_own_dir[app])
+        context.setCheckpointDir(_own_dir[app])
+        atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
     return _own_dir[app]
 
 
@@ -58,6 +67,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows (counted, stopping one past the
-    bound), else unmarked, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked, so that the join shuffles.
+
+    Rows up to one past the bound are evaluated, once, into a checkpoint, which is what is broadcast; only a side
+    beyond the bound is evaluated again."""
+    few = checkpoint(df.limit(max_rows + 1))
+    return F.broadcast(few) if few.count() <= max_rows else df

@@ -34,9 +34,12 @@ def manhattan(a: Column, b: Column) -> Column:
 
 
 def renormalize(v: Column) -> Column:
-    """The vector over its norm; a zero vector stays as it is."""
+    """The vector over its norm; a zero vector stays as it is.
+
+    The norm is bound to the vector in a struct first: an expression inside the lambda would be evaluated for every element."""
     n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    bound = F.array(F.struct(doubles(v).alias("v"), F.when(n == 0, 1.0).otherwise(n).alias("n")))
+    return F.get(F.transform(bound, lambda s: F.transform(s["v"], lambda x: x / s["n"])), F.lit(0))
 
 
 def prefix(v: Column, k: int) -> Column:

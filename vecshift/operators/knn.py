@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -39,25 +40,24 @@ def scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """The places of the k greatest scores of each row, ties by the smaller id; rows of places."""
-    rank = np.empty(len(ids), np.int64)
-    rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-    if score.shape[1] <= k:
-        return np.stack([np.lexsort((rank, -s)) for s in score])
-    kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-    out = np.empty((len(score), k), np.int64)
-    for i, s in enumerate(score):
-        at = np.flatnonzero(s >= kth[i])
-        out[i] = at[np.lexsort((rank[at], -s[at]))[:k]]
-    return out
+def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k greatest scores of each row, best first, ties by the least ``order`` (one of each place);
+    rows of places."""
+    if score.shape[1] > k:
+        kth = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        row, place = np.nonzero(score >= kth)
+    else:
+        row, place = np.divmod(np.arange(score.size), max(score.shape[1], 1))
+    sort = np.lexsort((order[row, place], -score[row, place], row))
+    row, place = row[sort], place[sort]
+    return place[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(score), -1)
 
 
 def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_column: str = "id", vector: str = "vector", same: str | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: for each query its k nearest rows of ``corpus``, itself included if it is one.
 
-    Both sides: ``id_column`` and ``vector``; rows whose vector is null, empty or not finite, or of another length
-    than most queries', are no candidates and no queries. ``same`` names a column that candidate and query must
+    Both sides: ``id_column`` and ``vector``; rows whose vector is null, empty or not finite are no candidates and no
+    queries, and a query's candidates are the rows of its length: queries of each length are searched apart. ``same`` names a column that candidate and query must
     share (a namespace). ``score`` is the similarity, or the distance for euclidean and manhattan. Rows
     repeated with an id count as often as they are there."""
     if metric not in METRICS:
@@ -68,21 +68,16 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
     good = F.size(F.filter("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))) == 0
     asked = queries.select(*columns).where(good & F.col("id").isNotNull()).where(F.size("vector") > 0)
     held = corpus.select(*columns).where(good & F.col("id").isNotNull())
-    sizes = asked.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    sizes = asked.groupBy(F.size("vector").alias("d")).count().collect()  # one row for each length
     out_schema = f"query_id {kind}, id {kind}, score double"
-    if not sizes:
-        found = spark.createDataFrame([], out_schema)
-    else:
-        dimension = sizes[0]["d"]
-        asked, held = asked.where(F.size("vector") == dimension), held.where(F.size("vector") == dimension)
-        blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-        found = None
+    found = spark.createDataFrame([], out_schema)
+    for dimension, count in sizes:
+        mine, candidates = asked.where(F.size("vector") == dimension), held.where(F.size("vector") == dimension)
+        blocks = max(1, -(-count // BLOCK_QUERIES))
         for block in range(blocks):
-            rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-            if rows.num_rows == 0:
-                continue
-            part = held.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k, metric, dimension, held.schema["id"].dataType), out_schema)
-            found = part if found is None else found.unionByName(part)
+            rows = mine.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+            if rows.num_rows:
+                found = found.unionByName(candidates.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k, metric, dimension, held.schema["id"].dataType), out_schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = -F.col("score") if metric in ("euclidean", "manhattan") else F.col("score")
@@ -94,30 +89,32 @@ def _searcher(shared, k: int, metric: str, dimension: int, kind):
         rows = shared.value
         vectors = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
         spaces = np.array(rows["same"].to_pylist(), object)
-        names = rows["id"].to_pylist()
-        kept = {space: (np.flatnonzero(spaces == space), [], []) for space in set(spaces)}
+        kept = {space: [np.flatnonzero(spaces == space), None, None] for space in set(spaces)}
         for batch in batches:
             corpus = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            ids = np.array(batch.column(0).to_pylist(), object)
-            space_of = np.array(batch.column(2).to_pylist(), object)
-            for space, (own, best_ids, best_scores) in kept.items():
-                inside = np.flatnonzero(space_of == space)
+            ids, space_of = batch.column(0), np.array(batch.column(2).to_pylist(), object) if len(kept) > 1 or "" not in kept else None
+            for space, best in kept.items():
+                own = best[0]
+                inside = np.arange(len(corpus)) if space_of is None else np.flatnonzero(space_of == space)
                 step = max(1, BLOCK_SCORES // max(len(own), 1))
                 for start in range(0, len(inside), step):
                     at = inside[start : start + step]
-                    score = scores(vectors[own], corpus[at], metric)
-                    names_here = np.broadcast_to(ids[at], score.shape)
-                    if best_ids:  # one running list of k for each query
-                        score = np.concatenate([best_scores[0], score], axis=1)
-                        names_here = np.concatenate([best_ids[0], names_here], axis=1)
-                    place = np.stack([_best(score[i : i + 1], names_here[i], k)[0] for i in range(len(own))])
-                    best_ids[:] = [np.take_along_axis(names_here, place, 1)]
-                    best_scores[:] = [np.take_along_axis(score, place, 1)]
-        for own, best_ids, best_scores in kept.values():
-            if best_ids:
-                width = best_ids[0].shape[1]
-                query = [names[i] for i in np.repeat(own, width)]
-                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(best_ids[0].ravel().tolist()), pa.array(best_scores[0].ravel())], names=["query_id", "id", "score"])
+                    score, names = scores(vectors[own], corpus[at], metric), ids.take(pa.array(at))
+                    # the running lists of all queries, then the new rows: places in one column of ids
+                    flat = names if best[1] is None else pa.concat_arrays([best[2], names])
+                    place = np.broadcast_to(np.arange(len(flat) - len(at), len(flat)), score.shape)
+                    if best[1] is not None:
+                        score = np.concatenate([best[1], score], axis=1)
+                        place = np.concatenate([np.arange(best[1].size).reshape(best[1].shape), place], axis=1)
+                    rank = np.empty(len(flat), np.int64)
+                    rank[pc.sort_indices(flat).to_numpy()] = np.arange(len(flat))
+                    # equal ids have equal ranks only if the sort says so; their order doesn't matter
+                    chosen = _best(score, rank[place], k)
+                    best[1] = np.take_along_axis(score, chosen, 1)
+                    best[2] = flat.take(pa.array(np.take_along_axis(place, chosen, 1).ravel()))
+        for own, score, names in kept.values():
+            if score is not None:
+                yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(pa.array(np.repeat(own, score.shape[1]))), names, pa.array(score.ravel())], names=["query_id", "id", "score"])
 
     return search
 

@@ -86,10 +86,14 @@ def progress(entries: DataFrame, batches: DataFrame) -> DataFrame:
     """``(batch, vectors_read, vectors_written, total_read, total_written)`` by batch, with running totals.
 
     batches: ``(batch, vectors_read)``, one row for each; a migration has one row per batch, not per record."""
+    counts = entries.groupBy("batch").agg(F.count("*").alias("vectors_written"))
+    return totals(batches.join(counts, "batch", "left").fillna(0, ["vectors_written"]))
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """``(batch, vectors_read, vectors_written)`` with running totals ``total_read, total_written``."""
     from pyspark.sql import Window
 
-    counts = entries.groupBy("batch").agg(F.count("*").alias("vectors_written"))
-    rows = batches.join(counts, "batch", "left").fillna(0, ["vectors_written"])
     upto = Window.partitionBy(F.lit(0)).orderBy("batch")
     return rows.select("batch", "vectors_read", "vectors_written", F.sum("vectors_read").over(upto).alias("total_read"), F.sum("vectors_written").over(upto).alias("total_written"))
 

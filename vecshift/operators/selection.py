@@ -40,10 +40,10 @@ def score(candidates: DataFrame, weights: dict[str, float] | None = None, by: st
     return passed.select(*([by] if by else []), "benchmark_id", "strategy", total.alias("score"))
 
 
-def select(candidates: DataFrame, benchmark_id: str | None = None, by: str | None = None) -> DataFrame:
+def select(candidates: DataFrame, benchmark_id: str | None = None, by: str | None = None, weights: dict[str, float] | None = None) -> DataFrame:
     """The chosen row of ``score``: the asked one if it passed, else a direct copy if one passed, else the best score;
     ties by strategy and id. No row if none passed."""
-    rows = score(candidates, by=by)
+    rows = score(candidates, weights, by)
     if benchmark_id is not None:
         return rows.where(F.col("benchmark_id") == benchmark_id)
     order = [F.desc(F.col("strategy") == "direct_copy"), F.desc(F.round("score", 9)), "strategy", "benchmark_id"]

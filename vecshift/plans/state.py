@@ -10,6 +10,7 @@ from pathlib import Path
 from typing import Any
 
 from vecshift.operators.migrate import POLICIES
+from vecshift.operators.selection import WEIGHTS
 
 # The states in order. FAILED can follow any of them.
 STATES = ("INIT", "CONNECT", "DISCOVER", "NORMALIZE", "COMPARE", "PLAN", "DRY_RUN", "BENCHMARK", "APPROVAL", "MIGRATE", "CDC_SYNC", "VERIFY", "CUTOVER", "COMPLETE")
@@ -37,12 +38,23 @@ class Request:
     document_field: str | None = None
     embedding_provider: str | None = None
     embedding_model: str | None = None
+    #: Weights of the measures by which the strategy is chosen (``selection.WEIGHTS`` where not given).
     weights: dict | None = None
+    #: The most by which searches may become slower, in per cent; not gated if null, as short runs on a sample are noisy.
+    maximum_latency_percent: float | None = None
+    #: Records copied at a time, each page a batch with its own cursor; null for the whole collection in one batch.
+    page_records: int | None = None
+    #: Whether the chosen strategy waits for ``Migration.approve``.
+    needs_approval: bool = False
     verification_blocks: bool = True
 
     def __post_init__(self):
         if self.id_collision_policy not in POLICIES:
             raise ValueError(f"id_collision_policy must be one of {POLICIES}")
+        if self.page_records is not None and self.page_records < 1:
+            raise ValueError("page_records must be positive")
+        if unknown := set(self.weights or ()) - set(WEIGHTS):
+            raise ValueError(f"no measures: {sorted(unknown)}")
 
 
 @dataclass

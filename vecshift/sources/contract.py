@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 from abc import ABC, abstractmethod
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +108,32 @@ class Store(ABC):
     @abstractmethod
     def delete(self, name: str, ids: DataFrame, batch: int, namespace: str | None = None) -> int: ...
 
+    @abstractmethod
+    def create(self, name: str, metric: str = "cosine", datatype: str = "float32", dimension: int | None = None) -> None: ...
+
+    @abstractmethod
+    def drop(self, name: str) -> None: ...
+
+    def query(self, name: str, queries: DataFrame, k: int = 10, width: int | None = None, namespace: str | None = None) -> DataFrame:
+        """``(query_id, id, score, rank)``: the k nearest records of each query ``(id, vector)``, by the collection's metric.
+
+        ``width`` is the search width of stores with an approximate index: how many candidates a search looks at.
+        Stores without one search exactly."""
+        from vecshift.operators.knn import METRICS, knn
+
+        metric = self.info(name, namespace).metric
+        return knn(self.read(name, namespace), queries, k, metric if metric in METRICS else "cosine")
+
+    @contextmanager
+    def ephemeral(self, metric: str = "cosine", dimension: int | None = None):
+        """The name of a new collection, dropped at the end of the block whatever happens in it."""
+        name = f"ephemeral_{uuid.uuid4().hex}"
+        self.create(name, metric, dimension=dimension)
+        try:
+            yield name
+        finally:
+            self.drop(name)
+
     def sample(self, name: str, n: int, namespace: str | None = None) -> DataFrame:
         """The first ``n`` records in scan order."""
         return self.scan(name, n, None, namespace)[0]
@@ -121,13 +149,15 @@ class Store(ABC):
 
 
 def build_store(spark: SparkSession, provider: str, endpoint: str | None = None, credential: str | None = None, **options) -> Store:
-    """The store of a provider, by its name in any case: ``files`` or one of the remote kinds."""
+    """The store of a provider, by its name in any case: ``files``, ``memory`` (files in the shared folder, gone when the
+    driver ends) or one of the remote kinds."""
+    from vecshift.functions.staging import staging_path
     from vecshift.sources import files, remote
 
-    kinds = {"files": files.FileStore, "index": remote.PagedIndex, "points": remote.PointStore}
+    kinds = {"files": files.FileStore, "memory": files.FileStore, "index": remote.PagedIndex, "points": remote.PointStore}
     kind = kinds.get((provider or "").strip().lower())
     if kind is None:
         raise ValueError(f"unknown provider {provider!r}; known are {', '.join(kinds)}")
     if kind is files.FileStore:
-        return kind(spark, resolve_secret(endpoint), **options)
+        return kind(spark, resolve_secret(endpoint) if provider.strip().lower() == "files" else staging_path(spark, "store"), **options)
     return kind(spark, resolve_secret(endpoint), resolve_secret(credential), **options)

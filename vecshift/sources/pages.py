@@ -1,86 +1,30 @@
-"""A data source of scan pages: a folder of JSON files, one page each, read in batch or as a stream of pages.
+"""Scan pages kept as JSON files, one page each: ``{"records": [{"id", "namespace", "vector", "payload"}, ...]}``.
 
-``spark.read.format("scan_pages").option("path", folder)`` reads every page, a partition each; as a stream the offset
-is the number of pages seen, in order of file name, which takes the place of a scan cursor.
+Read in batch or as a stream of pages. Spark's own file source lists and reads the files, of any file system its
+executors reach, and keeps a log of those seen in the query's checkpoint, which takes the place of a scan cursor: a page that comes
+late is read whatever its name.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+PAGE = "records array<struct<id: string, namespace: string, vector: array<float>, payload: string>>"
 
-SCHEMA = "id string, namespace string, vector array<float>, payload string, page string"
 
+def _records(files: DataFrame) -> DataFrame:
+    """``(id, namespace, vector, payload, page)``; a page that is no JSON, or whose records are null, has none."""
+    rows = files.select(F.from_json("value", PAGE).alias("page"), F.col("_metadata.file_name").alias("name"))
+    rows = rows.select(F.explode("page.records").alias("r"), "name").where("r is not null")
+    return rows.select("r.id", "r.namespace", "r.vector", F.coalesce("r.payload", F.lit("{}")).alias("payload"), F.col("name").alias("page"))
 
-def _files(path: str) -> list[str]:
-    return sorted(f for f in os.listdir(path) if f.endswith(".json"))
 
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _records(spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True))
 
-def _rows(path: str, name: str) -> Iterator[tuple]:
-    """Records of a page; a page that is no JSON, or whose records are null, has none."""
-    try:
-        with open(os.path.join(path, name), encoding="utf-8") as file:
-            records = (json.load(file) or {}).get("records") or []
-    except ValueError:
-        return
-    for r in records:
-        vector, payload = r.get("vector"), r.get("payload")
-        yield r.get("id"), r.get("namespace"), None if vector is None else [float(x) for x in vector], json.dumps({} if payload is None else payload), name
 
-
-class _Page(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        return [_Page(name) for name in _files(self.path)]
-
-    def read(self, partition):
-        yield from _rows(self.path, partition.name)
-
-
-class _Stream(DataSourceStreamReader):
-    """Pages are read by the executors; the driver only counts them."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def initialOffset(self):
-        return {"pages": 0}
-
-    def latestOffset(self):
-        return {"pages": len(_files(self.path))}
-
-    def partitions(self, start, end):
-        return [_Page(name) for name in _files(self.path)[start["pages"] : end["pages"]]]
-
-    def read(self, partition):
-        yield from _rows(self.path, partition.name)
-
-
-class ScanPages(DataSource):
-    @classmethod
-    def name(cls):
-        return "scan_pages"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options["path"])
-
-    def streamReader(self, schema):
-        return _Stream(self.options["path"])
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(ScanPages)
+def stream_pages(spark: SparkSession, folder: str, pages_a_batch: int | None = None) -> DataFrame:
+    """The pages as they come; ``pages_a_batch`` bounds a micro-batch."""
+    reader = spark.readStream.option("pathGlobFilter", "*.json").option("wholetext", "true")
+    return _records((reader.option("maxFilesPerTrigger", pages_a_batch) if pages_a_batch else reader).text(folder))

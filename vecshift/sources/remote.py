@@ -1,12 +1,14 @@
 """Collections behind HTTP services.
 
 Requests go through a ``transport(method, url, headers, body) -> dict``, by default over HTTPS; tests give their own. Ids
-are listed on the driver page by page, which is all that such services offer; records are fetched and written by the
-executors, a bounded number per request, so vectors never pass through the driver.
+are listed by cursor, one page after the other, which is all that such services offer; the driver holds a bounded number of
+them and writes them to the shared folder part by part. Records are fetched, written and searched by the executors, a bounded
+number per request, so vectors never pass through the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import urllib.error
@@ -17,10 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecshift.functions.ids import point_id
+from vecshift.functions.staging import staging_path
 from vecshift.sources.contract import FALSE, RECORD, TRUE, UNKNOWN, ResourceInfo, Store
 
 #: Ids listed by one request, records moved by one request.
 LIST_IDS, BATCH_RECORDS = 100, 100
+#: Listed ids held by the driver before they are written to the shared folder.
+HELD_IDS = 100_000
 TIMEOUT_S, ATTEMPTS, FIRST_WAIT_S = 60, 3, 2.0
 
 Transport = Callable[[str, str, dict, dict | None], dict]
@@ -103,9 +108,43 @@ class RemoteStore(Store):
 
         return ids.select(F.col("id").cast("string").alias("id")).distinct().mapInPandas(get, RECORD)
 
+    def _query_request(self, name: str, vector: list[float], k: int, width: int | None, namespace: str | None) -> tuple[str, str, dict]:
+        raise NotImplementedError
+
+    def _matches(self, answer: dict) -> list[tuple[str, float]]:
+        raise NotImplementedError
+
+    def listed_ids(self, name: str, namespace: str | None = None) -> DataFrame:
+        """``(id)`` of every record, as a table in the shared folder."""
+        path, every = staging_path(self.spark, "ids"), self.listed(name, namespace)
+        while True:
+            part = [(i,) for i, _ in itertools.islice(every, HELD_IDS)]
+            self.spark.createDataFrame(part, "id string").write.mode("append").parquet(path)
+            if len(part) < HELD_IDS:
+                return self.spark.read.schema("id string").parquet(path)
+
     def read(self, name: str, namespace: str | None = None) -> DataFrame:
-        ids = self.spark.createDataFrame([(i,) for i, _ in self.listed(name, namespace)], "id string")
-        return self._got(name, ids, namespace)
+        return self._got(name, self.listed_ids(name, namespace), namespace)
+
+    def query(self, name: str, queries: DataFrame, k: int = 10, width: int | None = None, namespace: str | None = None) -> DataFrame:
+        """As the service answers; a request for each query, sent by the executors."""
+        call, request, matches = self._call, self._prepared_query(name), self._matches
+
+        def ask(batches):
+            import pandas as pd
+
+            for frame in batches:
+                rows = []
+                for query, vector in zip(frame["id"], frame["vector"], strict=True):
+                    found = matches(call(*request(_floats(vector), k, width, namespace)))
+                    rows += [(query, i, score, n) for n, (i, score) in enumerate(found, 1)]
+                yield pd.DataFrame(rows, columns=["query_id", "id", "score", "rank"])
+
+        return queries.select("id", "vector").where("id is not null and vector is not null").mapInPandas(ask, f"query_id {queries.schema['id'].dataType.simpleString()}, id string, score double, rank bigint")
+
+    def _prepared_query(self, name: str):
+        make = self._query_request
+        return lambda vector, k, width, namespace: make(name, vector, k, width, namespace)
 
     def scan(self, name: str, size: int, cursor: str | None = None, namespace: str | None = None) -> tuple[DataFrame, str | None]:
         """Chains list pages until there are ``size`` ids or no more; the cursor is that of the last page."""
@@ -196,6 +235,23 @@ class PagedIndex(RemoteStore):
     def _delete_request(self, name, ids, namespace):
         return "POST", f"/{name}/vectors/delete", {"ids": ids} | ({"namespace": namespace} if namespace else {})
 
+    def _query_request(self, name, vector, k, width, namespace):
+        """The service chooses its own search width."""
+        return "POST", f"/{name}/query", {"vector": vector, "topK": k} | ({"namespace": namespace} if namespace else {})
+
+    def _matches(self, answer):
+        return [(m["id"], float(m["score"])) for m in answer.get("matches", [])]
+
+    def create(self, name, metric="cosine", datatype="float32", dimension=None):
+        self._call("POST", "/indexes", {"name": name, "metric": metric, "dimension": dimension, "spec": {"serverless": {}}})
+
+    def drop(self, name):
+        self._call("DELETE", f"/indexes/{name}")
+
+
+#: Names of metrics in a point store (fixed values).
+DISTANCES = {"Cosine": "cosine", "Dot": "dot", "Euclid": "euclidean", "Manhattan": "manhattan"}
+
 
 class PointStore(RemoteStore):
     """A store of points that takes digits and UUIDs as ids only: others are derived, the original kept in the payload; so
@@ -228,7 +284,7 @@ class PointStore(RemoteStore):
     def info(self, name: str, namespace: str | None = None) -> ResourceInfo:
         config = self._config(name)
         _, vector = self.vector_name(name)
-        metric = {"Cosine": "cosine", "Dot": "dot", "Euclid": "euclidean", "Manhattan": "manhattan"}.get(vector.get("distance"), "unknown")
+        metric = DISTANCES.get(vector.get("distance"), "unknown")
         return ResourceInfo(name, vector.get("size"), metric, "float32", TRUE if config.get("config", {}).get("quantization_config") else FALSE, config.get("points_count"))
 
     @staticmethod
@@ -257,6 +313,25 @@ class PointStore(RemoteStore):
                 rows.append((original, space, _floats(vector), None, None, json.dumps(payload)))
         return rows
 
+    def _prepared_query(self, name):
+        named = self.vector_name(name)[0]
+
+        def make(vector, k, width, namespace):
+            body = {"vector": {"name": named, "vector": vector} if named else vector, "limit": k, "with_payload": ["__source_id"]} | self._filter(namespace)
+            return "POST", f"/collections/{name}/points/search", body | ({"params": {"hnsw_ef": width}} if width else {})
+
+        return make
+
+    def _matches(self, answer):
+        return [((p.get("payload") or {}).get("__source_id", str(p["id"])), float(p["score"])) for p in answer.get("result", [])]
+
+    def create(self, name, metric="cosine", datatype="float32", dimension=None):
+        distance = {v: k for k, v in DISTANCES.items()}[metric]
+        self._call("PUT", f"/collections/{name}", {"vectors": {"size": dimension, "distance": distance}})
+
+    def drop(self, name):
+        self._call("DELETE", f"/collections/{name}")
+
     def fetch(self, name, ids, namespace=None):
         return self._got(name, ids.select(point_id(F.col("id").cast("string")).alias("id")), namespace)
 
