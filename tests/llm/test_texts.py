@@ -72,8 +72,8 @@ def test_edits_are_aligned():
     index = leakage.ItemIndex.build([(7, PASSAGE)])
     changed = PASSAGE.replace("milliseconds", "miliseconds").replace(" second", " sekond")
     short = " ".join(changed.split()[3:13])
-    assert leakage.leaks([short], index) == [] and leakage.leaks([short], index, edits=2) == [(0, 7)]
-    assert leakage.leaks([short.replace("while", "wilhe")], index, edits=2) == []
+    assert leakage.leaks([short], index) == [] and leakage.leaks([short], index, strict=False) == [(0, 7)]
+    assert leakage.leaks([short.replace("while", "wilhe")], index, strict=False) == []
 
 
 def test_banded_distance():
@@ -86,14 +86,29 @@ def test_banded_distance():
             row = new
         return min(row)
 
-    random = np.random.default_rng(0)
+    random, cases = np.random.default_rng(0), []
     for _ in range(200):
         a = random.integers(0, 3, random.integers(1, 12))
         b = np.concatenate([random.integers(0, 3, random.integers(0, 3)), a, random.integers(0, 3, random.integers(0, 3))])
         for _ in range(random.integers(0, 4)):
             b[random.integers(0, len(b))] = random.integers(0, 3)
         d = plain(a, b)
-        assert leakage.banded_distance(a, b, 3) == min(d, 4)
+        cases.append((a, b, min(d, 4)))
+    windows, regions = np.concatenate([a for a, _, _ in cases]), np.concatenate([b for _, b, _ in cases])
+    a, b = (np.cumsum([0] + [len(c[j]) for c in cases]) for j in (0, 1))
+    found = leakage.banded_distances(windows, (a[:-1], a[1:]), regions, (b[:-1], b[1:]), 3)
+    assert found.tolist() == [d for _, _, d in cases]
+
+
+def test_items_with_a_common_prompt(monkeypatch):
+    prompt = "answer the following question about the text in not more than ten plain words please "
+    index = leakage.ItemIndex.build([(n, prompt + f"what is item number {n} of the {n} long list of things to do") for n in range(60)])
+    texts = [prompt + "nothing else", "what is item number 7 of the 7 long list of things", "no such thing", None]
+    expected = leakage.leaks(texts, index)
+    assert expected == [(0, n) for n in range(60)] + [(1, 7)]
+    monkeypatch.setattr(leakage, "MOST_HITS", 100)
+    monkeypatch.setattr(leakage, "ALIGNED", 13)
+    assert leakage.leaks(texts, index) == expected
 
 
 def test_tokens():

@@ -3,12 +3,14 @@
 Q-gram lemma filtering: texts are reduced to their letters and digits; the character q-grams a document shares
 with an item are counted in overlapping diagonal bands; a passage of n characters within k edits keeps at least
 n + 1 - q - k * q of its q-grams in a stretch of one band, so bands with fewer are dropped. What is left is
-verified by alignment within the band, and, for the strict form, by comparing words along the diagonal.
+verified by banded alignment: some words of the item, as many as make a passage, must stand in the text within the edit
+budget. For the strict form, in which no edit is allowed, words are compared along the diagonal after that.
 """
 
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecshift.functions.staging import stage
+
 #: Consecutive words that make a leak.
 WORDS = 10
 #: Characters of a q-gram.
@@ -25,6 +29,12 @@ Q = 8
 BLOCK_CHARS = 2_000_000
 #: Characters of documents handled at a time; a longer document is handled whole, in windows that overlap by a passage.
 BATCH_CHARS = 200_000
+#: Edits within which a passage is retained and aligned; the strict form allows none in the end.
+EDITS = 2
+#: Shared q-grams looked at in one step; more are taken in several steps, by texts or by items.
+MOST_HITS = 4_000_000
+#: Alignments made at a time.
+ALIGNED = 20_000
 #: Bits of the table of q-grams looked at first.
 TABLE_BITS = 22
 
@@ -96,7 +106,8 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class ItemIndex:
-    """Q-grams of items. grams: sorted; places of gram g are first[g]:first[g+1] of item and place."""
+    """Q-grams of items. grams: sorted; places of gram g are first[g]:first[g+1] of item and place. codes: the letters of all
+    items, those of item i from begins[i] on."""
 
     ids: np.ndarray
     texts: list[tuple[np.ndarray, np.ndarray]]
@@ -107,6 +118,8 @@ class ItemIndex:
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    codes: np.ndarray
+    begins: np.ndarray
 
     @staticmethod
     def build(rows: list[tuple[int, str | None]]) -> ItemIndex:
@@ -132,18 +145,35 @@ class ItemIndex:
         grams, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << TABLE_BITS, bool)
         table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-        return ItemIndex(np.array(ids, np.int64), texts, np.array(shortest, np.int64), np.array(longest, np.int64), grams, np.append(first, len(flat)), cat(item, np.int32)[order], cat(place, np.int32)[order], table)
+        return ItemIndex(np.array(ids, np.int64), texts, np.array(shortest, np.int64), np.array(longest, np.int64), grams, np.append(first, len(flat)), cat(item, np.int32)[order], cat(place, np.int32)[order], table, cat([c for c, _ in texts], np.uint32), np.cumsum([0] + [len(c) for c, _ in texts]))
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in codes, item, place in item) of each shared q-gram."""
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in codes, item, place in item) of each shared q-gram; those of a block of items at a time, so that there
+        are not many more than MOST_HITS at once even if all items share a prompt."""
         h = gram_hashes(codes)
         at = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if not len(at) or not len(self.grams):
-            return (np.empty(0, np.int64),) * 3
+            return
         g = np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)
         same = self.grams[g] == h[at]
         at, g = at[same], g[same]
         n = self.first[g + 1] - self.first[g]
+        blocks = max(1, -(-int(n.sum()) // MOST_HITS))
+        if blocks == 1:
+            yield self._expanded(at, g, n)
+            return
+        step = np.searchsorted(np.cumsum(n), np.arange(blocks + 1) * MOST_HITS)
+        step[-1] = len(at)
+        borders = np.linspace(0, len(self.ids), blocks + 1).astype(np.int64)
+        for low, high in zip(borders[:-1], borders[1:], strict=True):
+            parts = []
+            for i, j in zip(step[:-1], step[1:], strict=True):
+                place, item, own = self._expanded(at[i:j], g[i:j], n[i:j])
+                inside = (item >= low) & (item < high)
+                parts.append((place[inside], item[inside], own[inside]))
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _expanded(self, at: np.ndarray, g: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         which = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(at, n), self.item[which].astype(np.int64), self.place[which].astype(np.int64)
 
@@ -184,86 +214,122 @@ def words_in_line(codes: np.ndarray, start: np.ndarray, item: np.ndarray, item_s
     return int(np.diff(ends).max()) - 1
 
 
-def banded_distance(window: np.ndarray, text: np.ndarray, most: int) -> int:
-    """The least edits that turn ``window`` into some part of ``text``, if at most ``most``; else ``most + 1``.
+def banded_distances(letters_: np.ndarray, window: tuple[np.ndarray, np.ndarray], text: np.ndarray, region: tuple[np.ndarray, np.ndarray], most: int) -> np.ndarray:
+    """For each alignment the least edits that turn a window into some part of a region, if at most ``most``; else ``most + 1``.
 
-    Cells further than ``most`` from the diagonals on which a part may start and end are left out."""
-    n, m = len(window), len(text)
-    spread = max(0, m - n) + 2 * most
-    row = np.zeros(spread + 1, np.int64)  # row i holds text places i - most + (0..spread)
-    offsets = np.arange(spread + 1)
-    row[offsets - most > m] = most + 1
-    row[offsets - most < 0] = most + 1
-    for i in range(1, n + 1):
+    window: (start, end) in ``letters_``; region: (start, end) in ``text``. Cells further than ``most`` from the
+    diagonals on which a part may start and end are left out. All alignments take a row at a time."""
+    (a, b), (low, high) = window, region
+    n, m = b - a, high - low
+    spread = int(np.maximum(0, m - n).max(initial=0)) + 2 * most
+    offsets, over = np.arange(spread + 1), most + 1
+    row = np.where((offsets - most >= 0) & (offsets - most <= m[:, None]), 0, over)  # row i holds text places i - most + offsets
+    result = np.where(n == 0, 0, over)
+    for i in range(1, int(n.max(initial=0)) + 1):
         places = i - most + offsets
-        inside = (places >= 0) & (places <= m)
-        letter = np.where((places >= 1) & (places <= m), text[np.clip(places - 1, 0, max(m - 1, 0))] if m else 0, -1)
-        best = np.minimum(row + (letter != window[i - 1]), np.append(row[1:], most + 1) + 1)
-        best = np.where(places == 0, i, np.where(inside, best, most + 1))
-        row = np.minimum.accumulate(best - offsets) + offsets
-        row = np.where(inside, row, most + 1)
-        if row.min() > most:
-            return most + 1
-    return int(min(row.min(), most + 1))
-
-
-def aligned(codes: np.ndarray, item: np.ndarray, item_start: np.ndarray, place: int, diagonal: int, edits: int) -> bool:
-    """Whether some WORDS consecutive words of the item stand in the text near a diagonal within ``edits`` edits."""
-    borders = np.flatnonzero(item_start)
-    for a, b in zip(borders[:-WORDS], borders[WORDS:], strict=True):
-        if b < place - diagonal or a > place - diagonal + (b - a):
-            continue
-        region = codes[max(0, a + diagonal - 2 * edits) : b + diagonal + 2 * edits]
-        if banded_distance(item[a:b], region, edits) <= edits:
-            return True
-    return False
+        inside = (places >= 0) & (places <= m[:, None])
+        letter = np.where(inside & (places >= 1), text[np.clip(low[:, None] + places - 1, 0, max(len(text) - 1, 0))], 0)
+        own = letters_[np.minimum(a + i - 1, len(letters_) - 1)][:, None]
+        best = np.minimum(row + ((letter != own) | (places < 1)), np.concatenate([row[:, 1:], np.full((len(row), 1), over)], axis=1) + 1)
+        best = np.where(places == 0, i, np.where(inside, best, over))
+        row = np.minimum.accumulate(best - offsets, axis=1) + offsets
+        row = np.minimum(np.where(inside, row, over), over)
+        result = np.where(n == i, row.min(1), result)
+    return np.minimum(result, over)
+
+
+def leaks(texts: list[str | None], index: ItemIndex, edits: int = EDITS, strict: bool = True) -> list[tuple[int, int]]:
+    """(number of text, item id) of each text that contains WORDS consecutive words of an item."""
+    return leaks_in_words([plain_words(t) for t in texts], index, edits, strict)
 
 
-def leaks(texts: list[str | None], index: ItemIndex, edits: int = 0) -> list[tuple[int, int]]:
-    """(number of text, item id) of each text that contains WORDS consecutive words of an item."""
+def leaks_in_words(texts: list[str], index: ItemIndex, edits: int = EDITS, strict: bool = True) -> list[tuple[int, int]]:
+    """``leaks`` of texts given as ``plain_words`` makes them."""
     found = set()
-    overlap = int(index.longest.max(initial=0)) + 2 * edits + Q
+    overlap = int(index.longest.max(initial=0)) + 4 * edits + Q
     for group in _by_size(texts):
         parts, owner = [], []
         for i in group:
-            codes, start = letters(plain_words(texts[i]))
+            codes, start = letters(texts[i])
             for low in range(0, max(len(codes), 1), BATCH_CHARS):
                 high = low + BATCH_CHARS + overlap
                 parts.append((codes[low:high], start[low : high + 1]))
                 owner.append(i)
         step = len(parts) if len(group) > 1 else 1  # the windows of a long text one by one
         for low in range(0, len(parts), step):
-            found |= {(owner[low + t], item) for t, item in _leaks_in(parts[low : low + step], index, edits)}
+            found |= {(owner[low + t], item) for t, item in _leaks_in(parts[low : low + step], index, edits, strict)}
     return sorted(found)
 
 
-def _leaks_in(parts: list[tuple[np.ndarray, np.ndarray]], index: ItemIndex, edits: int) -> list[tuple[int, int]]:
+def _leaks_in(parts: list[tuple[np.ndarray, np.ndarray]], index: ItemIndex, edits: int, strict: bool) -> list[tuple[int, int]]:
     """(number of part, item id) of each part that contains a passage."""
     found: list[tuple[int, int]] = []
+    seen: set[tuple[int, int]] = set()
     gap = np.full(Q, 0, np.uint32)  # no gram runs from one text into the next unnoticed: grams with 0 are in no item
+    flat = np.concatenate([x for c, _ in parts for x in (c, gap)])
     begins = np.cumsum([0] + [len(c) + Q for c, _ in parts])
-    place, item, item_place = index.hits(np.concatenate([x for c, _ in parts for x in (c, gap)]))
-    if not len(place):
-        return []
-    text = np.searchsorted(begins, place, side="right") - 1
-    place = place - begins[text]
-    need = np.maximum(1, index.shortest[item] + 1 - Q - edits * Q)
-    pair = text * len(index.ids) + item
-    kept = dense_bands(place, pair, place - item_place, need, index.longest[item] + edits, 2 * edits + 1)
-    seen = {}
-    for h in kept[np.lexsort((place[kept], pair[kept]))]:
-        t, i, d = int(text[h]), int(item[h]), int(place[h] - item_place[h])
-        if seen.get((t, i)) is True or (t, i, d) in seen and not edits:
-            continue
-        seen[t, i, d] = False
-        codes, start = parts[t]
-        target, target_start = index.texts[i]
-        if words_in_line(codes, start, target, target_start, d) >= WORDS or edits and aligned(codes, target, target_start, int(place[h]), d, edits):
-            seen[t, i] = True
-            found.append((t, int(index.ids[i])))
+    for at, item, item_place in index.hits(flat):
+        text = np.searchsorted(begins, at, side="right") - 1
+        place = at - begins[text]
+        need = np.maximum(1, index.shortest[item] + 1 - Q - edits * Q)
+        width = 2 * edits + 1
+        kept = dense_bands(place, text * len(index.ids) + item, place - item_place, need, index.longest[item] + edits, width)
+        for shift in (0, width) if width > 1 else (0,):
+            size = 2 * width if width > 1 else 1
+            diagonal = place - item_place
+            band = (diagonal + shift) // size
+            near = _alignments(text, item, band, item_place, kept, index, edits)
+            ok = np.zeros(len(near[0]), bool)
+            for low in range(0, len(ok), ALIGNED):
+                nt, ni, nb, a, b = (x[low : low + ALIGNED] for x in near)
+                start, end = begins[nt], begins[nt + 1] - Q
+                first = np.clip(start + a + nb * size - shift - edits, start, end)
+                last = np.clip(start + b + (nb + 1) * size - 1 - shift + edits, first, end)
+                base = index.begins[ni]
+                ok[low : low + ALIGNED] = banded_distances(index.codes, (base + a, base + b), flat, (first, last), edits) <= edits
+            for nt, ni, nb in set(zip(*(x[ok].tolist() for x in near[:3]), strict=True)):
+                if (nt, ni) in seen:
+                    continue
+                lines = np.unique(diagonal[(text == nt) & (item == ni) & (band == nb)]) if strict else ()
+                if not strict or any(words_in_line(*parts[nt], *index.texts[ni], int(d)) >= WORDS for d in lines):
+                    seen.add((nt, ni))
+                    found.append((nt, int(index.ids[ni])))
     return found
 
 
+def _alignments(text: np.ndarray, item: np.ndarray, band: np.ndarray, place: np.ndarray, kept: np.ndarray, index: ItemIndex, edits: int) -> tuple[np.ndarray, ...]:
+    """(text, item, band, start, end) of the alignments to try: the windows of WORDS words of an item that have as many of their
+    q-grams in a band of a text as ``edits`` edits leave, for bands in which there are ``kept`` hits."""
+    if not len(kept):
+        return (np.empty(0, np.int64),) * 5
+    least, items = band.min(), len(index.ids)
+    far = int(band.max() - least) + 1
+    key = (text * items + item) * far + (band - least)
+    names = np.unique(key[kept])
+    group = np.minimum(np.searchsorted(names, key), len(names) - 1)
+    inside = np.flatnonzero(names[group] == key)
+    group, place = group[inside], place[inside]
+    order = np.argsort(group, kind="stable")
+    group, place = group[order], place[order]
+    first = np.searchsorted(group, np.arange(len(names) + 1))
+    of_item = names // far % items
+    out = []
+    for i in np.unique(of_item):
+        own = np.flatnonzero(of_item == i)  # the bands of this item
+        borders = np.flatnonzero(index.texts[i][1])
+        a, b = borders[:-WORDS], borders[WORDS:]
+        length = int(borders[-1]) + 1
+        n = first[own + 1] - first[own]
+        nth = np.repeat(np.arange(len(own)), n)
+        hits = np.unique(nth * length + place[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        base = np.arange(len(own))[:, None] * length
+        count = np.searchsorted(hits, base + np.maximum(b - Q + 1, a)) - np.searchsorted(hits, base + a)
+        g, w = np.nonzero(count >= np.maximum(b - a + 1 - Q - edits * Q, 1))
+        name = names[own][g]
+        out.append(np.stack([name // far // items, np.full(len(g), i), name % far + least, a[w], b[w]]))
+    return tuple(np.concatenate(out, axis=1))
+
+
 def _by_size(texts):
     group, size = [], 0
     for i, text in enumerate(texts):
@@ -276,25 +342,35 @@ def _by_size(texts):
         yield group
 
 
-def contaminated(documents: DataFrame, items: DataFrame, edits: int = 0) -> DataFrame:
+def contaminated(documents: DataFrame, items: DataFrame, edits: int = EDITS, strict: bool = True) -> DataFrame:
     """``(doc_id, item_id)``: the documents that contain at least WORDS consecutive words of an item's text.
 
-    With ``edits`` > 0 a passage of that many words may differ by so many characters. documents: ``doc_id,
-    text``; items: ``item_id, text``; repeated rows count once. Null, empty or blank texts contain nothing, and
-    shorter items are contained in nothing. Items are taken in blocks of BLOCK_CHARS characters, each
-    broadcast; texts are read whole. One pass over the documents for each block, no shuffle but the last one."""
+    Regions within ``edits`` edits of such a passage are retained and aligned; unless ``strict`` they are cases, else only those
+    with the very words. documents: ``doc_id, text``; items: ``item_id, text``; repeated rows count once. Null, empty or blank
+    texts contain nothing, and shorter items are contained in nothing. Items are taken in blocks of BLOCK_CHARS
+    characters, each broadcast; texts are read whole. One pass over the documents for each block, no shuffle but the last one;
+    where there are several blocks, documents are brought into their plain form once and kept in the shared folder."""
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     blocks = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     documents = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    several = blocks > 1
+
+    def plain(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain_words(t) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    if several:
+        documents = stage(documents.mapInArrow(plain, "doc_id bigint, text string"), "plain")
     found = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).toArrow()
         index = documents.sparkSession.sparkContext.broadcast(ItemIndex.build(list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist(), strict=True))))
 
         def search(batches, index=index):
+            look = leaks_in_words if several else leaks
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                cases = leaks(batch.column(1).to_pylist(), index.value, edits)
+                cases = look(batch.column(1).to_pylist(), index.value, edits, strict)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in cases], pa.int64()), pa.array([j for _, j in cases], pa.int64())], names=["doc_id", "item_id"])
 
         part = documents.mapInArrow(search, "doc_id bigint, item_id bigint")
