@@ -143,18 +143,21 @@ def of_members(vectors: Vectors, near: DataFrame, k: int) -> DataFrame:
     of its members. A class shows no more than its k + 1 least members, so nothing grows with its size but its own rows."""
     if not vectors.copies:
         return near
-    near, members = checkpoint(near), vectors.members.select("num", "rep")
+    members = vectors.members.select("num", "rep")
+    several = broadcast_within(members.where("num = rep").select("num"))
+    # classes that are several records or near such are worked out anew; the others stay as they are
+    touched = near.join(several.withColumnRenamed("num", "other"), "other", "left_semi").select("num").unionByName(several).distinct()
+    touched = broadcast_within(touched)
     first = F.row_number().over(Window.partitionBy("rep").orderBy("num"))
     shown = members.withColumn("nth", first).where(F.col("nth") <= k + 1).select(F.col("rep").alias("other"), F.col("num").alias("member"))
     own = members.where("num = rep").select("num", F.col("num").alias("other"), F.lit(1.0).alias("cosine"))
-    listed = near.unionByName(own).join(shown, "other", "left").select("num", F.coalesce("member", "other").alias("other"), "cosine")
+    listed = near.join(touched, "num", "left_semi").unionByName(own).join(shown, "other", "left").select("num", F.coalesce("member", "other").alias("other"), "cosine")
     nth = F.row_number().over(Window.partitionBy("num").orderBy(F.desc("cosine"), "other"))
     listed = checkpoint(listed.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"))
-    several = members.where("num = rep").select("num")
     shared = broadcast_within(listed.join(several, "num", "left_semi").withColumnRenamed("num", "rep"))
-    alone = listed.join(several, "num", "left_anti")
     each = members.join(shared, "rep").where("num <> other").select("num", "other", "cosine")
-    return alone.unionByName(each).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    alone = listed.join(several, "num", "left_anti")
+    return near.join(touched, "num", "left_anti").unionByName(alone.unionByName(each).withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"))
 
 
 def neighbour_pairs(records: DataFrame, k: int = 5, least: float = 0.85, dimension: int = 64, **cells) -> DataFrame:
@@ -164,7 +167,7 @@ def neighbour_pairs(records: DataFrame, k: int = 5, least: float = 0.85, dimensi
     ids and records whose current vector is not usable (null, another length, an element that is null or not
     finite, all zero) take no part. An empty table gives no pairs. ``cells``: see ``neighbours``."""
     vectors = Vectors(records, dimension)
-    near = of_members(vectors, neighbours(vectors, k, least, **cells), k)
-    pairs = checkpoint(near.select(F.least("num", "other").alias("id_a"), F.greatest("num", "other").alias("id_b")).distinct())
+    near = checkpoint(neighbours(vectors, k, least, **cells))
     vectors.release()
+    pairs = of_members(vectors, near, k).select(F.least("num", "other").alias("id_a"), F.greatest("num", "other").alias("id_b")).distinct()
     return vectors.named(pairs, "id_a", "id_b").select("id_a", "id_b")
