@@ -189,10 +189,29 @@ def test_spam_on_held_out_pages(spark):
     assert not found & {r[0] for r in mixed}
 
 
-def test_spam_is_cut_by_the_share_of_the_page(spark, monkeypatch):
-    rows = [(1, "clean.example", 0.52, 0.0, 0.468), (2, "spam.example", 0.48, 1.0, 0.532), (3, None, 0.52, None, 0.52), (4, None, 0.5, None, 0.5)]
-    monkeypatch.setattr(spam, "page_scores", lambda documents: spark.createDataFrame(rows, "doc_id bigint, host string, share double, host_rate double, score double"))
-    assert sorted(r.doc_id for r in spam.spam_pages(None).collect()) == [1, 3]
+def test_hosts_tip_unsure_blocks_only(spark, monkeypatch):
+    kinds = {"sure": [0.95], "clean": [0.02], "unsure": [0.45], "half": [0.95, 0.02], "lean": [0.55]}
+
+    def blocks(pages, labelled):
+        rows = [(r.doc_id, r.host, 100, p) for r in pages.collect() for p in kinds[r.text]]
+        return spark.createDataFrame(rows, "doc_id bigint, host string, chars int, label double")
+
+    monkeypatch.setattr(spam, "block_table", blocks)
+    monkeypatch.setattr(spam, "fit_trees", lambda blocks: None)
+    rows = [(n, "sure", "spam.example") for n in range(60)] + [(n, "clean", "clean.example") for n in range(100, 300)]
+    rows += [(400, "unsure", "spam.example"), (401, "unsure", "clean.example"), (402, "unsure", None), (403, "lean", "clean.example"), (404, "lean", None), (405, "half", "spam.example"), (406, "clean", "spam.example"), (407, "sure", "clean.example")]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, origin string")
+    found = {r.doc_id for r in spam.spam_pages(documents).collect()}
+    assert found == set(range(60)) | {400, 404, 407}
+
+
+def test_labels_and_trees_see_different_things():
+    assert not set(spam.EVIDENCE) & set(spam.FEATURES)
+    for kind in ("prose", "keywords", "links", "tags", "log"):
+        text = spam.plain_page(page(kind, 3))
+        seen, evidence = spam.block_features(text), spam.block_evidence(text)
+        assert len(seen) == len(evidence) >= 1 and all(len(row) == len(spam.FEATURES) and np.isfinite(row).all() for _, row in seen)
+    assert [spam.plain_page(t) for t in (None, "", " \n ", "buy now")] == [""] * 4
 
 
 def test_spam_of_nothing(spark):
