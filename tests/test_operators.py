@@ -261,3 +261,35 @@ def test_ann_searches_again_where_nothing_is_near(spark):
     exact = {(r.query_id, r["rank"]): (r.id, r.score) for r in knn.knn(df, df, 10).collect()}
     assert len(found) == 400 and {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in exact.items()}
     assert all(abs(found[k][1] ** 2 - (2 - 2 * exact[k][1])) < 1e-6 for k in exact)
+
+
+def test_renormalisation_is_linear_in_the_dimension(spark):
+    import time
+
+    def seconds(d, n):
+        df = spark.range(n).select(F.transform(F.sequence(F.lit(1), F.lit(d)), lambda x: (x + F.col("id")).cast("float")).alias("v"))
+        times = []
+        for _ in range(3):
+            began = time.perf_counter()
+            df.select(F.sum(vectors.norm(vectors.renormalize(F.col("v"))))).collect()
+            times.append(time.perf_counter() - began)
+        return min(times)
+
+    assert seconds(1536, 1_000) < 5 * seconds(64, 24_000)  # as many elements; quadratic would be 24 times
+
+
+def test_approximate_search(spark):
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(random.normal(size=(3000, 48)))] + [(9001, None), (9002, [0.0] * 48), (9003, [float("nan")] * 48)]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    asked = df.where("id % 100 = 0 or id > 9000")
+    near = {(r.query_id, r.id) for r in knn.ann(df, asked, 10).collect()}
+    exact = {(r.query_id, r.id) for r in knn.knn(df.where("id < 9000"), asked.where("id < 9000"), 10).collect()}
+    assert len(near) == len(exact) == 300 and len(near & exact) >= 0.9 * 300
+    assert knn.ann(df.where("false"), asked, 10).count() == 0 and knn.ann(df, asked.where("false"), 10).count() == 0
+
+
+def test_search_of_several_lengths(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [1.0, 0.0, 0.0]), ("d", [0.0, 1.0, 0.0]), ("e", [])], "id string, vector array<double>")
+    found = {(r.query_id, r.id, r["rank"]) for r in knn.knn(df, df.where("id in ('a', 'c', 'e')"), 2).collect()}
+    assert found == {("a", "a", 1), ("a", "b", 2), ("c", "c", 1), ("c", "d", 2)}

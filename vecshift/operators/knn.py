@@ -7,15 +7,14 @@ partitions times the queries times k rows, whatever the collection's size. A win
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecshift.functions.staging import checkpoint
 from vecshift.functions.vectors import LEAST_NORM, is_usable, prefix, renormalize
 
 METRICS = ("cosine", "dot", "euclidean", "manhattan")
@@ -53,12 +52,12 @@ def _best(score: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
     return place[np.arange(len(row)) - np.searchsorted(row, row) < k].reshape(len(score), -1)
 
 
-def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_column: str = "id", vector: str = "vector", same: str | None = None) -> DataFrame:
+def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_column: str = "id", vector: str = "vector", same: str | None = None, narrow: Sketch | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: for each query its k nearest rows of ``corpus``, itself included if it is one.
 
     Both sides: ``id_column`` and ``vector``; rows whose vector is null, empty or not finite are no candidates and no
     queries, and a query's candidates are the rows of its length: queries of each length are searched apart. ``same`` names a column that candidate and query must
-    share (a namespace). ``score`` is the similarity, or the distance for euclidean and manhattan. Rows
+    share (a namespace); ``narrow`` keeps some rows of each batch for exact ranking (``ann``). ``score`` is the similarity, or the distance for euclidean and manhattan. Rows
     repeated with an id count as often as they are there."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, got {metric!r}")
@@ -77,19 +76,20 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosin
         for block in range(blocks):
             rows = mine.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
             if rows.num_rows:
-                found = found.unionByName(candidates.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k, metric, dimension, held.schema["id"].dataType), out_schema))
+                found = found.unionByName(candidates.mapInArrow(_searcher(spark.sparkContext.broadcast(rows), k, metric, dimension, narrow), out_schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     score = -F.col("score") if metric in ("euclidean", "manhattan") else F.col("score")
     return ranked.select("query_id", "id", score.alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _searcher(shared, k: int, metric: str, dimension: int, kind):
+def _searcher(shared, k: int, metric: str, dimension: int, narrow: Sketch | None):
     def search(batches):
         rows = shared.value
         vectors = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
         spaces = np.array(rows["same"].to_pylist(), object)
         kept = {space: [np.flatnonzero(spaces == space), None, None] for space in set(spaces)}
+        number = None
         for batch in batches:
             corpus = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
             ids, space_of = batch.column(0), np.array(batch.column(2).to_pylist(), object) if len(kept) > 1 or "" not in kept else None
@@ -99,10 +99,16 @@ def _searcher(shared, k: int, metric: str, dimension: int, kind):
                 step = max(1, BLOCK_SCORES // max(len(own), 1))
                 for start in range(0, len(inside), step):
                     at = inside[start : start + step]
-                    score, names = scores(vectors[own], corpus[at], metric), ids.take(pa.array(at))
+                    names = ids.take(pa.array(at))
+                    if narrow is None:
+                        score = scores(vectors[own], corpus[at], metric)
+                        chosen = np.broadcast_to(np.arange(len(at)), score.shape)
+                    else:
+                        chosen, number = narrow(vectors[own], corpus[at], number)
+                        score = np.einsum("qd,qnd->qn", vectors[own], corpus[at][chosen]) if chosen.shape[1] < len(at) else scores(vectors[own], corpus[at], metric)
                     # the running lists of all queries, then the new rows: places in one column of ids
                     flat = names if best[1] is None else pa.concat_arrays([best[2], names])
-                    place = np.broadcast_to(np.arange(len(flat) - len(at), len(flat)), score.shape)
+                    place = chosen + (len(flat) - len(at))
                     if best[1] is not None:
                         score = np.concatenate([best[1], score], axis=1)
                         place = np.concatenate([np.arange(best[1].size).reshape(best[1].shape), place], axis=1)
@@ -132,21 +138,47 @@ def two_stage(corpus: DataFrame, queries: DataFrame, k: int, shortlist: int, dim
     return scored.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
 
 
-def ann(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vector", bucket_length: float = 0.6, tables: int = 6, threshold: float = 1.2) -> DataFrame:
-    """``(query_id, id, distance, rank)``: approximate search by random-projection hash tables of unit vectors.
-
-    Queries with fewer than k rows within ``threshold`` are searched again exactly, over the whole corpus."""
-    unit = lambda df: df.where(is_usable(F.col(vector))).select(F.col(id_column).alias("id"), array_to_vector(renormalize(F.col(vector))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=42).fit(unit(corpus))
-    pairs = model.approxSimilarityJoin(unit(queries), unit(corpus), threshold, "distance")
-    pairs = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"), "distance")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    near = checkpoint(pairs.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k))
-    full = near.where(F.col("rank") == k).select("query_id")
-    plain = lambda df: df.where(is_usable(F.col(vector))).select(F.col(id_column).alias("id"), renormalize(F.col(vector)).alias("vector"))
-    short = plain(queries).join(full.withColumnRenamed("query_id", "id"), "id", "left_anti")
-    exact = knn(plain(corpus), short, k, "euclidean").select("query_id", "id", F.col("score").alias("distance"), "rank")
-    return near.join(full, "query_id", "left_semi").unionByName(exact)
+@dataclass(frozen=True)
+class Sketch:
+    """Narrows the rows of a batch by their products within ``dimension`` random directions (the same for all tasks).
+
+    How many are kept is found out on the batch itself: enough that ``recall`` of the exact nearest ``k`` of some of the queries
+    are among them, at worst all."""
+
+    k: int
+    recall: float
+    dimension: int
+    seed: int = 42
+
+    def __call__(self, queries: np.ndarray, corpus: np.ndarray, kept: int | None) -> tuple[np.ndarray, int]:
+        """(places of the rows kept for each query, their number, to be given again with the next batch)."""
+        n = len(corpus)
+        turn = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(queries.shape[1], queries.shape[1])))[0][:, : self.dimension]
+        near = (queries @ turn) @ (corpus @ turn).T
+        if kept is None:
+            probe = np.arange(0, len(queries), max(1, len(queries) // PROBED))
+            best = np.argpartition(-(queries[probe] @ corpus.T), min(self.k, n - 1), axis=1)[:, : self.k]
+            order = np.argsort(np.argsort(-near[probe], axis=1), axis=1)
+            place = np.sort(np.take_along_axis(order, best, axis=1).ravel())
+            kept = 2 * int(place[min(int(np.ceil(self.recall * len(place))), len(place) - 1)]) + self.k
+        if kept >= n:
+            return np.broadcast_to(np.arange(n), near.shape), kept
+        return np.argpartition(-near, kept - 1, axis=1)[:, :kept], kept
+
+
+#: Queries of a task on which the number of kept rows is found out.
+PROBED = 32
+
+
+def ann(corpus: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vector", recall: float = 0.97) -> DataFrame:
+    """``(query_id, id, distance, rank)``: approximate search of unit vectors by random sketches of half their length.
+
+    Every row is looked at through its sketch; those kept are ranked exactly in the same task, so that the plan is that of ``knn``,
+    with one pass and no shuffle but of the best. ``recall`` is what the sketches are made to reach, see ``Sketch``."""
+    unit = lambda df: df.where(is_usable(F.col(vector))).select(F.col(id_column).alias("id"), renormalize(F.col(vector)).alias("vector"))
+    longest = queries.agg(F.max(F.size(vector))).first()[0] or 2
+    found = knn(unit(corpus), unit(queries), k, "dot", narrow=Sketch(k, recall, max(1, longest // 2)))
+    return found.select("query_id", "id", F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("distance"), "rank")
 
 
 def in_namespace(records: DataFrame, namespace: Column | str) -> DataFrame:

@@ -34,6 +34,13 @@ def distribution(df: DataFrame, vector: str = "vector", by: tuple[str, ...] = ()
     )
 
 
+def fidelity(df: DataFrame, vector: str = "vector", by: tuple[str, ...] = ()) -> DataFrame:
+    """``rejected, n_bad`` for each group: whether, and how many of its vectors hold NaN or infinity."""
+    v = F.col(vector)
+    bad = has_nan(v) | has_inf(v)
+    return df.where(has_vector(v)).groupBy(*by).agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("rejected"), F.count_if(bad).alias("n_bad"))
+
+
 def normalization(df: DataFrame, vector: str = "vector", by: tuple[str, ...] = ()) -> DataFrame:
     """``confidence, status, method, confirmed, mean_norm, std_norm``: whether vectors have unit norm, as measured.
 

@@ -160,9 +160,9 @@ class Migration:
             sample = self.sample()
             function = fitted(strategy, sample, self.state["plan_facts"]["target_dimension"], "text" if self.request.document_field else None, self.embedder)
             moved = checkpoint(function(sample).where(has_vector(F.col("vector"))))
-            spread = stats.distribution(moved).first()
-            if spread is None or spread["has_nan"] or spread["has_inf"]:
-                return base | {"passed": False, "reasons": [f"vectors are not finite: has_nan={spread and spread['has_nan']} has_inf={spread and spread['has_inf']}"]}
+            spread, bad = stats.distribution(moved).first(), stats.fidelity(moved).first()
+            if bad["rejected"] or not spread["count"]:
+                return base | {"passed": False, "reasons": [f"vectors are not finite: has_nan={spread['has_nan']} has_inf={spread['has_inf']}" if spread["count"] else "no vectors"]}
             metric = self._metric()
             source, before = self._timed(sample, metric)
             target, after = self._timed(moved, metric)
