@@ -129,6 +129,21 @@ def test_large_groups_are_checked_by_their_mean(spark, monkeypatch, spread):
     assert found == brute_clusters(vectors, NAMES)
 
 
+def test_long_chains_cost_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "GROUP_ROWS", 25)
+    angles = np.deg2rad(np.concatenate([np.arange(0, 150, 2), np.full(40, 220) + np.linspace(0, 3, 40)]))
+    vectors = np.stack([np.cos(angles), np.sin(angles), 0 * angles], axis=1).astype(np.float32)
+    compared, signed = [], clusters.Clusters._signed
+
+    def counted(self, rows, hot):
+        compared.append(rows.where("key is not null").count())
+        return signed(self, rows, hot)
+
+    monkeypatch.setattr(clusters.Clusters, "_signed", counted)
+    found = {r.id: r.cluster_id for r in clusters.Clusters(table(spark, vectors), dimension=3).found().collect()}
+    assert found == brute_clusters(vectors, NAMES) and len(found) == 40 and sum(compared) == 0
+
+
 def test_classes_of_copies(spark):
     random = np.random.default_rng(9)
     base = random.normal(size=(40, 16)).astype(np.float32)

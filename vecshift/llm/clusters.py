@@ -87,6 +87,21 @@ def propagate_minimum(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
+def hang_together(vectors: np.ndarray, least: float) -> bool:
+    """Whether the rows are one connected component by similarity >= least."""
+    frontier, rest = np.arange(1), np.arange(1, len(vectors))
+    while len(frontier) and len(rest):
+        reached = []
+        for i in range(0, len(frontier), ROWS):
+            near = (vectors[frontier[i : i + ROWS]] @ vectors[rest].T >= least).any(0)
+            reached.append(rest[near])
+            rest = rest[~near]
+            if not len(rest):
+                break
+        frontier = np.concatenate(reached)
+    return not len(rest)
+
+
 def _fingerprint(links: DataFrame) -> tuple[int, int, int]:
     """The number of links and two sums of their hashes: equal for equal sets of links."""
     h = F.xxhash64("a", "b")
@@ -164,41 +179,46 @@ class Clusters:
         self.least, self.smallest, self.dense = least, smallest, dense
 
     def parts(self) -> DataFrame:
-        """``(num, part)``: for each visit of a cell the part of the cell the record is in, named by a number; records
-        without a similar one in the cell have none."""
-        least, width, inner = self.least - HALF_SLACK, self.vectors.dimension, self.inner
+        """``(num, part, sure)``: for each visit of a cell the part of the cell the record is in, named by a number; records
+        without a similar one in the cell have none. ``sure``: 0 if the part hangs together only by similarities so near to
+        the bound that half precision can't tell."""
+        least, strict, width, inner = self.least - HALF_SLACK, self.least + HALF_SLACK, self.vectors.dimension, self.inner
 
         def link(table: pa.Table) -> pa.Table:
             nums = table["num"].to_numpy()
             order = np.argsort(nums)
             nums, halves = nums[order], matrix_of(table["vec"], np.float16, width)[order].astype(np.float32)
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            doubtful = np.zeros(len(nums), bool)
             for rows in meetings(halves.astype(np.float64), **inner):
                 label = local_groups(halves[rows], least)
                 found = np.flatnonzero(label >= 0)
                 a.append(rows[found])
                 b.append(rows[label[found]])
+                found = found[np.argsort(label[found], kind="stable")]
+                for part in np.split(found, np.flatnonzero(np.diff(label[found])) + 1) if len(found) else ():
+                    doubtful[rows[part]] |= not hang_together(halves[rows[part]], strict)
             row = np.unique(np.concatenate(a))
             label = joined_labels(len(nums), np.concatenate(a), np.concatenate(b))
-            return pa.table({"num": nums[row], "part": nums[label[row]]})
+            return pa.table({"num": nums[row], "part": nums[label[row]], "sure": (~doubtful[row]).astype(np.int8)})
 
         plan, stuck = self.vectors.outer(*self.outer)
         visits = self.vectors.visits(plan, lambda matrix: units(matrix).astype(np.float16))
-        return in_blocks(visits, chunked(visits.sparkSession, stuck), link, "num bigint, part bigint")
+        return in_blocks(visits, chunked(visits.sparkSession, stuck), link, "num bigint, part bigint, sure tinyint")
 
     def groups(self) -> DataFrame:
-        """``(num, label)``: connected groups of classes of equal vectors, named by a number; with those classes of several
-        records that are like no other."""
+        """``(num, label, sure)``: connected groups of classes of equal vectors, named by a number; with those classes of several
+        records that are like no other. A group all of whose rows are sure holds no link but those of similar records."""
         # a part is named by its least record: parts of several cells with one name share that record
         placed = checkpoint(self.parts())
         counted = placed.groupBy("part").agg(F.count_distinct("num").alias("n")).where(F.col("n") >= self.dense)
         placed = placed.join(counted.select("part"), "part", "left_semi")
         # adjacent parts are joined by the records they share; such joins are few
-        first = checkpoint(placed.groupBy("num").agg(F.min("part").alias("low"), F.collect_set("part").alias("parts")))
+        first = checkpoint(placed.groupBy("num").agg(F.min("part").alias("low"), F.collect_set("part").alias("parts"), F.min("sure").alias("sure")))
         labels = propagate_minimum(first.select("low", F.explode("parts").alias("part")).where("low <> part").distinct().toDF("b", "a"))
-        named = first.select("num", "low").join(labels.toDF("low", "label"), "low", "left").select("num", F.coalesce("label", "low").alias("label"))
+        named = first.select("num", "low", "sure").join(labels.toDF("low", "label"), "low", "left").select("num", F.coalesce("label", "low").alias("label"), "sure")
         if self.vectors.copies:
-            several = self.vectors.members.where("num = rep").select("num", F.col("num").alias("label"))
+            several = self.vectors.members.where("num = rep").select("num", F.col("num").alias("label"), F.lit(1).cast("tinyint").alias("sure"))
             named = named.unionByName(several.join(first.select("num"), "num", "left_anti"))
         return checkpoint(named)
 
@@ -207,9 +227,9 @@ class Clusters:
         groups = self.groups()
         copies = self.vectors.members.groupBy(F.col("rep").alias("num")).agg(F.count("*").alias("size"))
         sized = groups.join(copies, "num", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-        sizes = sized.groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("records")).where(F.col("records") >= self.smallest)
+        sizes = sized.groupBy(F.col("label").alias("key")).agg(F.count("*").alias("n"), F.sum("size").alias("records"), F.min("sure").alias("sure")).where(F.col("records") >= self.smallest)
         sizes = checkpoint(sizes)
-        hot = sizes.where(F.col("n") > GROUP_ROWS).select("key", "n")
+        hot = sizes.where(F.col("n") > GROUP_ROWS).select("key", "sure")
         ids = groups.join(sizes.select(F.col("key").alias("label")), "label", "left_semi").join(self.vectors.numbers, "num").select("id", F.col("label").alias("key"))
         rows = self.vectors.reps.join(ids, "id").select("key", "num", "vec")  # the vectors stay where they are
         if hot.isEmpty():
@@ -244,11 +264,13 @@ class Clusters:
         return signed if hot is None else signed.groupBy("key", "num").agg(*[F.sum(c).alias(c) for c in "nst"])
 
     def _large(self, rows: DataFrame) -> DataFrame:
-        """``_signed`` of groups of many rows: ``(key, num, vec, n)``.
+        """``_signed`` of groups of many rows: ``(key, num, vec, sure)``.
 
         The angle of each row to its group's mean direction is measured. Rows whose angle and the greatest of the group
         add up to less than the bound are similar to the whole group; only the others are compared with each
-        other, in chunks. The number of such groups is at most that of the rows by GROUP_ROWS."""
+        other, in chunks. A sure group, which is all that its records are linked with, is a cluster only as a whole: it is left out if a record isn't
+        similar to the one farthest from the mean, so that long chains cost one pass. The number of such groups is at most
+        that of the rows by GROUP_ROWS."""
         width, bound = self.vectors.dimension, float(np.arccos(self.least)) - ANGLE_SLACK
         axes = [f"x{j}" for j in range(width)]
 
@@ -273,7 +295,8 @@ class Clusters:
         measured = rows.join(broadcast_within(means, SUM_ROWS), "key").select("key", "num", "vec", "mean").mapInArrow(measure, "key bigint, num bigint, angle double, s bigint, t bigint")
         measured = checkpoint(measured)
         whole = measured.groupBy("key").agg(F.count("*").alias("n"), F.sum("s").alias("all_s"), F.sum("t").alias("all_t"), F.max("angle").alias("widest"))
-        placed = measured.join(broadcast_within(checkpoint(whole), SUM_ROWS), "key").withColumn("inner", F.col("angle") + F.col("widest") <= bound)
+        whole = checkpoint(whole.join(self._refuted(rows, measured, whole), "key", "left_anti"))
+        placed = measured.join(broadcast_within(whole, SUM_ROWS), "key").withColumn("inner", F.col("angle") + F.col("widest") <= bound)
         inner = placed.where("inner").select("key", "num", "n", F.col("all_s").alias("s"), F.col("all_t").alias("t"))
         outside = checkpoint(placed.where("not inner").select("key", "num", "s", "t"))
         if outside.isEmpty():
@@ -285,6 +308,22 @@ class Clusters:
         outer = signed.join(broadcast_within(plus, SUM_ROWS), "key").select("key", "num", (F.col("n") + F.col("dn")).alias("n"), (F.col("s") + F.col("ds")).alias("s"), (F.col("t") + F.col("dt")).alias("t"))
         return inner.unionByName(outer)
 
+    def _refuted(self, rows: DataFrame, measured: DataFrame, whole: DataFrame) -> DataFrame:
+        """``(key)`` of sure groups that hold two records that aren't similar: the one farthest from the mean and another."""
+        width, least = self.vectors.dimension, self.least - 1e-9
+
+        def compare(batches):
+            for batch in batches:
+                vectors, far = units(matrix_of(batch.column(1), width=width)), units(matrix_of(batch.column(2), width=width))
+                apart = np.einsum("ij,ij->i", vectors, far) < least
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).to_numpy()[apart]))], names=["key"])
+
+        wide = whole.where(F.col("widest") > float(np.arccos(self.least)) / 2).select("key")
+        far = measured.join(wide, "key", "left_semi").groupBy("key").agg(F.max_by("num", F.struct("angle", "num")).alias("num"))
+        sure = rows.where("sure = 1").select("key", "num", "vec")
+        far = sure.join(broadcast_within(far, SUM_ROWS), ["key", "num"]).select("key", F.col("vec").alias("far"))
+        return sure.join(broadcast_within(far, SUM_ROWS), "key").select("key", "vec", "far").mapInArrow(compare, "key bigint").distinct()
+
     def found(self) -> DataFrame:
         """``(id, cluster_id)``: one row per member; ``cluster_id`` is the smallest id of the cluster."""
         return self.vectors.named(self.members(), "num", "cluster").select(F.col("num").alias("id"), F.col("cluster").alias("cluster_id"))
