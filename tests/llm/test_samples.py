@@ -101,3 +101,11 @@ def test_weights_never_fall(spark):
     assert {r["weight"] for r in stable_sample.running_weights(light, F.col("w"), kept).collect()} == {4.0}
     odd = records(spark, [("r", None, 0, 1.0), (None, "x", 0, 1.0), ("r", "y", 0, None), ("r", "z", 0, float("nan")), ("r", "q", 0, -5.0)])
     assert stable_sample.stable_sample(odd, asked.withColumn("sample_rate", F.lit(1.0)), F.col("w")).count() == 0
+
+
+def test_many_contexts_are_joined_by_parts(spark, monkeypatch):
+    rows = records(spark, [("r", f"i{n}", n % 12, 1.0) for n in range(2000)])
+    asked = contexts(spark, [(c, "r", c, 0, 0.1) for c in range(5)])
+    few = {tuple(r) for r in stable_sample.stable_sample(rows, asked).collect()}
+    monkeypatch.setattr(stable_sample, "CONTEXT_ROWS", 2)
+    assert {tuple(r) for r in stable_sample.stable_sample(rows, asked).collect()} == few and len(few) > 700

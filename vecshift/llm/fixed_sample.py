@@ -68,13 +68,15 @@ class StagedRecords:
 
         contexts: ``context_id, resource_name, seed, sample_size``; repeated rows count once. Ranks number the
         records of a resource from 0. The ranks drawn are the first values of a random permutation keyed by
-        the seed: distinct, each equally likely, made without a list of all ranks. If there are fewer
+        the seed and the resource: distinct, each equally likely, made without a list of all ranks. If there are fewer
         records than wished all come out; null or negative sizes and resources without records draw none."""
         size = F.least(F.coalesce("sample_size", F.lit(0)).cast("bigint"), F.col("records"))
         asked = contexts.select("context_id", "resource_name", F.coalesce("seed", F.lit(DEFAULT_SEED)).cast("bigint").alias("seed"), "sample_size").distinct()
         asked = asked.join(self.totals(), "resource_name").withColumn("size", size).where("size > 0")
         parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("size") - 1) / PART_RANKS)))
-        ranks = asked.select("context_id", "resource_name", "seed", "records", "size", parts.alias("part")).mapInArrow(_draw, "context_id bigint, resource_name string, rank bigint")
+        # resources of one size draw independently of each other; contexts of one seed and resource draw the same
+        key = F.xxhash64("seed", "resource_name").alias("seed")
+        ranks = asked.select("context_id", "resource_name", key, "records", "size", parts.alias("part")).mapInArrow(_draw, "context_id bigint, resource_name string, rank bigint")
         before = Window.partitionBy("resource_name").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
         offsets = self.counts.select("resource_name", "__piece", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
         ranked = self.records.join(broadcast_within(offsets, OFFSET_ROWS), ["resource_name", "__piece"]).withColumn("rank", F.col("__row") + F.col("shift"))

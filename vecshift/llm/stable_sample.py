@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecshift.functions.hashing import unit_hash
-from vecshift.functions.staging import broadcast_within
+from vecshift.functions.staging import within
 
 DEFAULT_SEED = 42
-#: Contexts up to which they are broadcast to the records; more are joined by resource.
-CONTEXT_ROWS = 10_000
+#: Contexts up to which they are broadcast to the records; more are joined by resource and one of SALTS parts of its records.
+CONTEXT_ROWS, SALTS = 10_000, 32
 
 
 def sample_contexts(contexts: DataFrame) -> DataFrame:
@@ -37,7 +37,14 @@ def stable_sample(records: DataFrame, contexts: DataFrame, weight: Column | None
     drawn = _weighted(records, weight).withColumnRenamed("load_no", "load")
     if weights is not None:
         drawn = drawn.unionByName(weights.select("resource_name", "id", "weight", F.lit(None).cast("int").alias("load")))
-    chosen = drawn.join(broadcast_within(sample_contexts(contexts), CONTEXT_ROWS), "resource_name").where(unit_hash(F.col("seed"), F.col("id")) < F.col("weight") * F.col("rate"))
+    asked = sample_contexts(contexts)
+    few = within(asked, CONTEXT_ROWS)
+    if few is not None:
+        joined = drawn.join(F.broadcast(few), "resource_name")
+    else:  # a resource may hold a third of all records: its records are spread, its contexts repeated
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = drawn.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["resource_name", "salt"])
+    chosen = joined.where(unit_hash(F.col("seed"), F.col("id")) < F.col("weight") * F.col("rate"))
     return chosen.groupBy("context_id", "seed", "resource_name", "id").agg(F.max("weight").alias("weight"), F.min("load").alias("first_load"))
 
 
