@@ -66,10 +66,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def within(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """``df``, evaluated once into a checkpoint, if it has at most ``max_rows`` rows, else null."""
+    few = checkpoint(df.limit(max_rows + 1))
+    return few if few.count() <= max_rows else None
+
+
 def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows, else unmarked, so that the join shuffles.
 
-    Rows up to one past the bound are evaluated, once, into a checkpoint, which is what is broadcast; only a side
-    beyond the bound is evaluated again."""
-    few = checkpoint(df.limit(max_rows + 1))
-    return F.broadcast(few) if few.count() <= max_rows else df
+    What is broadcast is a checkpoint of its rows; only a side beyond the bound is evaluated again."""
+    few = within(df, max_rows)
+    return df if few is None else F.broadcast(few)
