@@ -26,8 +26,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HASH_BITS, STEP_BITS = 60, 10
 #: Rows of the table of targets up to which it is broadcast.
 TARGET_ROWS = 100_000
-#: A text is counted in parts of so many characters: the tokenizer's time grows with the length of a run.
-PART_CHARS = 100_000
 
 
 @functools.cache
@@ -40,15 +38,8 @@ def _encoding(path: str):
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
-    """Tokens of a whole text; null has none. Texts longer than PART_CHARS are cut at white space where possible."""
-    if not text:
-        return 0
-    encode, total, at = _encoding(path).encode_ordinary, 0, 0
-    while len(text) - at > PART_CHARS:
-        cut = text.rfind(" ", at + 1, at + PART_CHARS)
-        cut = cut if cut > at else at + PART_CHARS
-        total, at = total + len(encode(text[at:cut])), cut
-    return total + len(encode(text[at:] if at else text))
+    """Tokens of a whole text; null has none."""
+    return len(_encoding(path).encode_ordinary(text)) if text else 0
 
 
 def plain_source(column) -> F.Column:
@@ -91,12 +82,15 @@ def budgets(targets: DataFrame, available: DataFrame) -> DataFrame:
 
 def thresholds(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` with ``below``: the documents of the source with ``place < below`` are the most whose tokens
-    fit into ``rest``. Each round sums, by STEP_BITS more bits, the documents of the boundary buckets only."""
+    fit into ``rest``. Each round sums, by STEP_BITS more bits, the documents of the boundary buckets only, which from the
+    second round on are all that is kept."""
     open_ = wanted.where("rest > 0").select("mix_id", "source", "rest", F.lit(0).cast("bigint").alias("prefix"))
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         bounds = open_.select("source", "prefix").distinct()
-        inside = tokens.withColumn("prefix", F.shiftright("place", shift + STEP_BITS))
-        sums = inside.join(broadcast_within(bounds, TARGET_ROWS), ["source", "prefix"]).groupBy("source", "prefix", F.shiftright("place", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+        inside = tokens.select("source", "tokens", "place", F.shiftright("place", shift + STEP_BITS).alias("prefix")).join(broadcast_within(bounds, TARGET_ROWS), ["source", "prefix"])
+        if shift < HASH_BITS - STEP_BITS:
+            inside = tokens = checkpoint(inside)
+        sums = inside.groupBy("source", "prefix", F.shiftright("place", shift).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
         running = Window.partitionBy("source", "prefix").orderBy("bucket")
         sums = sums.withColumn("upto", F.sum("tokens").over(running))
         # the first bucket whose running sum exceeds the rest is refined; the buckets before it are taken
