@@ -107,3 +107,12 @@ def test_shuffles_stay_narrow(spark):
     plan = reconcile._element_table(df.withColumn("key", F.col("id")))._jdf.queryExecution().executedPlan().toString()
     exchange = plan[plan.index("Exchange hashpartitioning") :]
     assert "vector" not in exchange.splitlines()[0] and "WindowGroupLimit" in plan
+
+
+def test_tables_are_sized_by_the_differences(spark):
+    same = spark.range(20_000).select(F.xxhash64("id").alias("hash"), F.xxhash64("id", F.lit(3)).alias("content"))
+    other = same.withColumn("content", F.when(F.pmod("hash", F.lit(100)) == 0, F.col("content") + 1).otherwise(F.col("content")))
+    few = reconcile.expected_elements(same, other, 40_000)
+    assert 300 < few < 600 and reconcile.expected_elements(same, same, 40_000) < 10
+    assert 250 < reconcile.expected_elements(same, other, 400_000) < 1500  # by a tenth of the keys
+    assert reconcile.differing_hashes(same, other).count() == other.where(F.pmod("hash", F.lit(100)) == 0).count()

@@ -29,8 +29,8 @@ ATOL = RTOL = 1e-5
 HASHES, CELLS = 3, 512
 #: Elements a table of HASHES * CELLS cells is planned for; peeling works up to about 0.8 of its cells.
 PLANNED = 900
-#: Share of keys expected to differ at first. Buckets that can't be peeled are tried again, more finely.
-EXPECTED_SHARE = 0.15
+#: Rows of either side, at most about so many, by which the number of differing elements is estimated; drawn by key hash.
+ESTIMATED = 40_000
 #: Factor of buckets from one attempt to the next, and number of attempts before keys are compared directly.
 FINER, ATTEMPTS = 4, 4
 #: A prime below 2^31; residues of it check that a cell holds one element.
@@ -162,10 +162,20 @@ def _peel_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.full(len(found), bucket), "hash": found})
 
 
+def expected_elements(left: DataFrame, right: DataFrame, rows: int) -> float:
+    """An upper estimate of the number of elements that are on one side only, from all keys of a part of the hashes. The tables are sized by it, so
+    that they grow with the differences and not with the data."""
+    part = min(1.0, ESTIMATED / max(rows, 1))
+    drawn = lambda side: side.where(F.pmod(F.xxhash64("hash", F.lit(1)), F.lit(1 << 20)) < F.lit(round(part * (1 << 20))))
+    keys = drawn(left).unionByName(drawn(right)).groupBy("hash").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+    found = keys.where("n <> 2 or low <> high").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return (found + 3 * found**0.5 + 3) / part
+
+
 def differing_hashes(left: DataFrame, right: DataFrame) -> DataFrame:
     """Key hashes whose elements are not the same on both sides. left, right: (hash, content)."""
     rows = left.count() + right.count()
-    buckets = max(1, round(rows * EXPECTED_SHARE / PLANNED))
+    buckets = max(1, round(expected_elements(left, right, rows) / PLANNED))
     done = None
     for attempt in range(ATTEMPTS):
         cells = _cells(left, 1, buckets, attempt).unionByName(_cells(right, -1, buckets, attempt))
