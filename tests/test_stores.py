@@ -399,3 +399,22 @@ def test_weights_decide(spark):
     assert selection.select(rows, weights={"quality": 0.1, "latency_ms": 0.9}).first()["benchmark_id"] == "a"
     with pytest.raises(ValueError):
         request(weights={"beauty": 1.0})
+
+
+def test_command_line(spark, tmp_path):
+    from vecshift.__main__ import main
+
+    source, target = (FileStore(spark, f"file://{tmp_path}/{n}") for n in "ab")
+    source.create("c")
+    target.create("d")
+    source.upsert("c", clustered(spark, 120), 1)
+    places = [f"files:file://{tmp_path}/a#c", f"files:file://{tmp_path}/b#d"]
+    state_folder = str(tmp_path / "w")
+    done = main(["migrate", *places, "--id", "m", "--state", state_folder, "--embedding-provider", "p", "--embedding-model", "m", "--page", "100"], spark)
+    assert done["status"] == "success" and done["written"] == 120 and done["selected"]["strategy"] == "direct_copy"
+    same = main(["compare", *places, "--queries", "10", "--k", "5"], spark)
+    assert same["sample_size"] == 10 and same["recall_at_k"] == same["topk_overlap"] == 1.0
+    assert len(main(["compare", *places, "--text", "word1 topic1 number1", "--k", "3"], spark)["matches"]) == 3
+    assert main(["rollback", *places, "--id", "m", "--state", state_folder], spark) == {"batches_undone": 2} and target.read("d").count() == 0
+    with pytest.raises(SystemExit):
+        main(["compare", "nowhere", places[1]], spark)

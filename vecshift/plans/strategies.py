@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecshift.functions.staging import checkpoint
 from vecshift.functions.vectors import truncated
 from vecshift.operators import transforms
 from vecshift.operators.compat import MRL_DIMENSIONS
@@ -131,5 +132,5 @@ def fitted(name: str, sample: DataFrame, target: int, document: str | None = Non
         return lambda df: embed(df, document, embedder)
     if strategy.needs_pairs:
         pairs = transforms.calibration_pairs(sample.where(F.trim(document) != ""))
-        sample = embed(pairs, document, embedder, "target").persist()
+        sample = checkpoint(embed(pairs, document, embedder, "target"))
     return strategy.fit(sample, target)
