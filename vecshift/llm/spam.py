@@ -103,7 +103,10 @@ def blocks_of(text: str) -> list[str]:
     return [b for b in blocks if b.strip()]
 
 
-def _covered(pattern, text: str) -> int:
+def _covered(pattern, text: str, *signs: str) -> int:
+    """Characters of the text within matches; none if it has none of the ``signs`` that every match has."""
+    if signs and not any(sign in text for sign in signs):
+        return 0
     return sum(m.end() - m.start() for m in pattern.finditer(text))
 
 
@@ -164,27 +167,30 @@ def block_evidence(text: str) -> list[list[float]]:
     out = []
     for block in blocks_of(text):
         n = len(block)
-        plain = ANCHOR.sub(" ", block)
+        plain = ANCHOR.sub(" ", block) if "<a" in block or "](" in block else block
         anchors = n - len(plain)
+        free = URL.sub(" ", plain) if "http" in plain or "www." in plain else plain
+        stripped = HASHTAG.sub(" ", free) if "#" in free else free
+        stripped = PAIR.sub(" ", stripped) if ":" in stripped else stripped
         own = [w.casefold() for w in WORD.findall(block)]
-        bare = [w.casefold() for w in WORD.findall(PAIR.sub(" ", HASHTAG.sub(" ", URL.sub(" ", plain))))]
+        bare = own if stripped is block else [w.casefold() for w in WORD.findall(stripped)]
         grams = list(zip(own, own[1:]))
         k = max(len(own), 1)
         content = [w for w in own if w not in FUNCTION_WORDS]
-        links = anchors + _covered(URL, plain) + _covered(HIDDEN_DOMAIN, URL.sub(" ", plain))
+        links = anchors + _covered(URL, plain, "http", "www.") + _covered(HIDDEN_DOMAIN, free, ".")
         out.append(
             [
                 sum(w in FUNCTION_WORDS for w in bare) / max(len(bare), 1),
                 min(links / n, 1.0),
-                (_covered(HASHTAG, block) + _covered(PAIR, block)) / n,
+                (_covered(HASHTAG, block, "#") + _covered(PAIR, block, ":")) / n,
                 sum(pairs[g] >= REPEATED for g in grams) / max(len(grams), 1),
                 sum(w in top for w in content) / max(len(content), 1),
                 len(set(own)) / k,
-                sum(c.isdigit() for c in block) / n,
-                _covered(LOG, block) / n,
+                sum(map(str.isdigit, block)) / n,
+                _covered(LOG, block, "-") / n,
                 _covered(CODE, block) / n,
-                _covered(TABLE, block) / n,
-                _covered(SETTING, block) / n,
+                _covered(TABLE, block, "|") / n,
+                _covered(SETTING, block, "=", ":", "(") / n,
                 len(BULLET.findall(block)) / k,
                 block.count(",") / k,
                 len(own) / (block.count("\n") + 1),
