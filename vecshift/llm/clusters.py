@@ -326,7 +326,9 @@ class Clusters:
 
     def found(self) -> DataFrame:
         """``(id, cluster_id)``: one row per member; ``cluster_id`` is the smallest id of the cluster."""
-        return self.vectors.named(self.members(), "num", "cluster").select(F.col("num").alias("id"), F.col("cluster").alias("cluster_id"))
+        members = checkpoint(self.members())
+        self.vectors.release()
+        return self.vectors.named(members, "num", "cluster").select(F.col("num").alias("id"), F.col("cluster").alias("cluster_id"))
 
     def described(self, shown: int = 3) -> DataFrame:
         """``(cluster_id, size, densest_cell_size, place, member)``: each cluster's size, the number of members in its
@@ -367,6 +369,7 @@ class Clusters:
         sums = checkpoint(sums.groupBy("cluster").agg(F.sum("n").alias("size"), *[F.sum(f).alias(f) for f in fields]).select("cluster", "size", F.array(*fields).alias("sums")))
         placed = rows.join(broadcast_within(sums, SUM_ROWS), "cluster").select("num", "cluster", "vec", "size", "sums")
         placed = checkpoint(placed.mapInArrow(place, "num bigint, cluster bigint, close bigint, cell array<bigint>"))
+        self.vectors.release()
         cells = placed.groupBy("cluster", "cell").agg(F.count("*").alias("n"))
         sizes = cells.groupBy("cluster").agg(F.sum("n").alias("size"), F.max("n").alias("densest_cell_size"))
         nth = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("close"), "num"))
